@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, running_total
 
-WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of runs of anything but BLANKS; a null text has none."""
+    line = F.trim(F.regexp_replace(text, BLANKS, " "))
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.coalesce(F.when(F.octet_length(line) > 0, blanks + 1), F.lit(0)).cast("long")
 
 
 def fair_targets(sizes: dict[str | None, int], weights: Sequence[float], share: float, max_repeats: int) -> dict[str | None, float]:
