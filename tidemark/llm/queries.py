@@ -12,6 +12,7 @@ from . import language_id, license_scan, token_store, warc
 from .bpe import encode_documents
 from .exact_dedup import copy_groups
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -25,6 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -55,6 +60,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_near_dedup": op2_near_dedup,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
