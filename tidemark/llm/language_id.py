@@ -265,3 +265,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double" + (", spans array<struct<begin:int,end:int,lang:string>>" if with_spans else "")
     return docs.select(id_col, text_col).mapInArrow(_labeller(spark.sparkContext.broadcast(model), with_spans), schema).withColumnRenamed("id", id_col)
+
+
+def _keeper(shipped: Broadcast, text_at: int, least: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = _labeller(shipped, False)
+        for batch in batches:
+            (got,) = label(iter([pa.record_batch([pa.nulls(batch.num_rows), batch.column(text_at)], names=["id", "text"])]))
+            good = np.array([x != UNKNOWN for x in got.column(1).to_pylist()], bool) & (got.column(2).to_numpy() >= least)
+            yield batch.filter(pa.array(good))
+
+    return keep
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, that have a language with a score of ``least`` or more."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    return docs.mapInArrow(_keeper(spark.sparkContext.broadcast(model), docs.columns.index(text_col), least), docs.schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, license_scan, token_store, warc
 from .bpe import encode_documents
+from .embedding_dedup import near_vectors
 from .exact_dedup import copy_groups
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -54,6 +55,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_store": op10_token_store,
 }
 
