@@ -18,6 +18,7 @@ table gives no records; extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -77,7 +78,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("\r\n"),
         block,
     )
-    known.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    known.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse_records(content: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -107,7 +108,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for head, block in parse_records(content.as_buffer()):
+            for head, block in parse_records(memoryview(gzip.decompress(content.as_buffer()))):
                 payload = bytes(block).partition(b"\r\n\r\n")[2]
                 stored = head["warc-type"] == "response"
                 refers = head.get("warc-refers-to")
