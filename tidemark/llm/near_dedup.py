@@ -31,12 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, mix64, plain, small_batches
+from .shared import blocks, materialise, mix64, plain, small_batches, utf8
 from .shingles import Weights, fit_weights, shingle_blocks
 
 THRESHOLD = 0.8
 #: 12 bands of 3 samples: two texts of similarity 0.8 meet in a bucket with a probability of 0.9998.
 BANDS, ROWS = 12, 3
+#: Samples of a node that its first leader did not settle.
+MORE_SAMPLES = 384
+#: Standard deviations by which a pair's shared samples may fall short of the
+#: threshold and the pair is still compared in full: one in 700 falls shorter at the threshold itself, none to speak of above it.
+SLACK = 3.0
+#: Leaders that are drawn in a bucket in each round after the first.
+LEADERS = 256
+#: Bytes of pairs of texts that are compared at a time.
+VERIFY_BYTES = 2 << 20
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
@@ -67,18 +76,41 @@ def weighted_samples(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray,
     return text[first], mix64(hashes[hit] ^ mix64(t[hit].astype(np.int64).astype(np.uint64) + np.uint64(k + 1)))
 
 
-def band_keys(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have shingles, and BANDS keys for each."""
+def band_keys(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that have shingles, and BANDS keys and BANDS * ROWS samples (32 bits) for each."""
     if not len(text):
-        return text, np.zeros((0, BANDS), np.int64)
-    keys = []
+        return text, np.zeros((0, BANDS), np.int64), np.zeros((0, BANDS * ROWS), np.int32)
+    keys, samples = [], []
     for band in range(BANDS):
         key = np.full(1, band + 1, np.uint64)
         for row in range(ROWS):
             texts, sample = weighted_samples(text, hashes, weights, band * ROWS + row)
+            samples.append((sample >> np.uint64(32)).astype(np.uint32).view(np.int32))
             key = mix64(sample + key * np.uint64(0xD6E8FEB86659FD93))
         keys.append(key.astype(np.int64))
-    return texts, np.stack(keys, 1)
+    return texts, np.stack(keys, 1), np.stack(samples, 1)
+
+
+def min_alike(n: int, threshold: float) -> int:
+    """Of n samples, those that a pair must share to be compared in full."""
+    return int(np.floor(n * threshold - SLACK * np.sqrt(n * threshold * (1 - threshold))))
+
+
+def _sampler(shipped: Broadcast):
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: Weights = shipped.value
+        for batch in batches:
+            rows: list = [None] * batch.num_rows
+            for a, _, text, h, count in shingle_blocks(batch.column(1)):
+                w = weights.of(h, count)
+                got = [weighted_samples(text, h, w, BANDS * ROWS + k) for k in range(MORE_SAMPLES)] if len(text) else []
+                if got:
+                    every = np.stack([(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, x in got], 1)
+                    for i, row in zip(got[0][0], every):
+                        rows[a + i] = row
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["node", "samples"])
+
+    return sample
 
 
 def _signer(shipped: Broadcast):
@@ -86,15 +118,13 @@ def _signer(shipped: Broadcast):
         weights: Weights = shipped.value
         for batch in batches:
             body = plain(batch.column(1)).fill_null("")
-            keys: list[np.ndarray] = []
-            for a, b, text, h, count in shingle_blocks(body):
-                texts, got = band_keys(text, h, weights.of(h, count))
-                each: list = [None] * (b - a)
-                for i, row in zip(texts.tolist(), got):
-                    each[i] = row
-                keys += each
+            keys: list = [None] * len(body)
+            samples: list = [None] * len(body)
+            for a, _, text, h, count in shingle_blocks(body):
+                for i, key, sample in zip(*band_keys(text, h, weights.of(h, count))):
+                    keys[a + i], samples[a + i] = key, sample
             digests = [hashlib.md5(x.as_buffer(), usedforsecurity=False).digest() for x in body]
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))], names=["id", "digest", "bands", "samples"])
 
     return sign
 
@@ -123,20 +153,42 @@ def weighted_jaccard(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
 def _verifier(shipped: Broadcast, threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sim = weighted_jaccard(batch.column(2), batch.column(3), shipped.value)
-            keep = pa.array(sim >= threshold)
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            left, right = plain(batch.column(2)), plain(batch.column(3))  # columns 0 and 1: classes
+            # Few bytes at a time: a hot leader's text stands in every row.
+            for i, j in blocks(utf8(left)[1] + utf8(right)[1], VERIFY_BYTES):
+                sim = weighted_jaccard(left.slice(i, j - i), right.slice(i, j - i), shipped.value)
+                keep = pa.array(sim >= threshold)
+                yield pa.record_batch([batch.column(k).slice(i, j - i).filter(keep) for k in (0, 1)], names=["a", "b"])
 
     return verify
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, mates) of all buckets with two nodes at least."""
+    """(bucket, node, mates, samples) of all buckets with two nodes at least."""
     members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(members.join(shared.hint("merge"), "bucket"), "members")
-    mates = members.groupBy("node").agg(F.sum("n").alias("mates"))
-    return materialise(members.drop("n").join(mates.hint("merge"), "node").select("bucket", "node", "mates"), "members")
+    mates = members.groupBy("node").agg(F.sum("n").alias("mates")).join(nodes.select("node", "samples"), "node")
+    return materialise(members.drop("n").join(mates.hint("merge"), "node").select("bucket", "node", "mates", "samples"), "members")
+
+
+def _leads(members: DataFrame, turn: int) -> DataFrame:
+    """``members`` with ``lead``: at first the node with the most bucket mates, later about LEADERS drawn nodes."""
+    if turn == 0:
+        first = members.groupBy("bucket").agg(F.min(F.struct((-F.col("mates")).alias("o"), F.col("node").alias("node"))).alias("x"))
+        return members.join(first.hint("merge"), "bucket").withColumn("lead", F.col("node") == F.col("x.node")).drop("x")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("node", F.lit(turn))).alias("low"))
+    drawn = F.xxhash64("node", F.lit(turn))
+    return members.join(sizes.hint("merge"), "bucket").withColumn("lead", (F.pmod(drawn, F.col("n")) < LEADERS) | (drawn == F.col("low"))).drop("n", "low")
+
+
+def _pairs(members: DataFrame, least: int) -> DataFrame:
+    """(a, label_a, b, label_b): each node with the leaders of its buckets, once, unless samples rule it out."""
+    left, right = members.alias("l"), members.filter("lead").alias("r")
+    alike = F.aggregate(F.zip_with("l.samples", "r.samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    met = F.array_min(F.array_intersect("l.open", "r.open")) == F.col("l.bucket")
+    on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.label") != F.col("r.label")) & (~F.col("l.lead") | (F.col("l.node") < F.col("r.node"))) & met & (alike >= least)
+    return left.join(right.hint("merge"), on).select(F.col("l.node").alias("a"), F.col("l.label").alias("label_a"), F.col("r.node").alias("b"), F.col("r.label").alias("label_b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -145,39 +197,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(fit_weights(slim.select("text")))
-    signed = materialise(slim.mapInArrow(_signer(weights), "id bigint, digest binary, bands array<bigint>"), "signed")
-    nodes = materialise(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    signed = materialise(slim.mapInArrow(_signer(weights), "id bigint, digest binary, bands array<bigint>, samples array<int>"), "signed")
+    nodes = materialise(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "nodes")
     members = _members(nodes)
     texts = slim.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     texts = materialise(texts, "member-texts")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    leaders = 1
+    labels = materialise(members.select("node", F.col("node").alias("label")).distinct(), "labels")
+    members, turn = members.withColumn("label", F.col("node")), 0
     while not members.isEmpty():
-        by_mates = F.min(F.struct((-F.col("mates")).alias("o"), F.col("node").alias("node")))["node"]
-        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(leaders * 97 + i)).alias("o"), F.col("node").alias("node")))["node"] for i in range(1, leaders)]
-        led = members.groupBy("bucket").agg(F.array_distinct(F.array(by_mates, *drawn)).alias("leads"))
-        pairs = members.select("bucket", "node").join(led.hint("merge"), "bucket").select("node", F.explode("leads").alias("lead")).filter("node <> lead")
-        pairs = pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        open_ = members.groupBy("node").agg(F.collect_set("bucket").alias("open"))
+        members = materialise(_leads(members.join(open_.hint("merge"), "node"), turn), "members")
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        compared = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+        compared = materialise(_pairs(members, min_alike(MORE_SAMPLES if turn else BANDS * ROWS, threshold)), "pairs").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("label_a", "label_b", "text_a", "text_b")
         found = materialise(compared.mapInArrow(_verifier(weights, threshold), "a bigint, b bigint"), "verified")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        # Classes found so far are the nodes of the next components.
+        joined = components(found).withColumnRenamed("node", "label")
+        relabel = lambda df: df.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        labels = materialise(relabel(labels), "labels")
+        members = materialise(relabel(members).drop("open"), "relabelled")
         # Nodes that are in no leader's class yet, in buckets where these are of two classes at least.
-        label = members.select("bucket", "node", "mates").join(labels.hint("merge"), "node", "left").select("bucket", "node", "mates", F.coalesce("root", "node").alias("label"))
-        label = materialise(label, "labelled")
-        done = label.join(led.hint("merge"), "bucket").filter(F.array_contains("leads", F.col("node"))).select("bucket", "label").distinct()
-        rest = materialise(label.join(done.hint("merge"), ["bucket", "label"], "left_anti"), "rest")
-        open_ = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        members = materialise(rest.join(open_.hint("merge"), "bucket", "left_semi").select("bucket", "node", "mates"), "members")
-        leaders = min(4 * leaders, 16)
-    of_text = nodes.select("digest", "node")
-    if labels is not None:
-        of_text = of_text.join(labels, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
-    else:
-        of_text = of_text.select("digest", F.col("node").alias("class_id"))
+        done = members.filter("lead").select("bucket", "label").distinct()
+        rest = materialise(members.join(done.hint("merge"), ["bucket", "label"], "left_anti").drop("lead"), "rest")
+        several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+        members = materialise(rest.join(several.hint("merge"), "bucket", "left_semi"), "members")
+        if turn == 0:
+            unsettled = texts.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
+            more = materialise(unsettled.select("id", "text").mapInArrow(_sampler(weights), "node bigint, samples array<int>"), "samples")
+            members = materialise(members.drop("samples").join(more.hint("merge"), "node"), "members")
+        turn += 1
+    of_text = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     out = signed.select("id", "digest").join(of_text.hint("merge"), "digest", "left")
     class_id = F.when(F.col("id").isNotNull(), F.col("class_id"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
