@@ -30,6 +30,9 @@ from .token_counts import ship_tokenizer
 
 #: Words that a worker keeps.
 CACHE_WORDS = 300_000
+_ID_BITS = 24
+_ID = (1 << _ID_BITS) - 1
+_NEVER = 1 << 62
 
 # The pre-token pattern and the byte alphabet of byte-level BPE vocabularies.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -54,11 +57,13 @@ class Coder:
         self.id_of = {as_bytes(s): i for s, i in vocab.items() if s not in self.added}
         self.bytes_of: dict[int, bytes] = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.added.items()}
         self.longest = max(map(len, self.id_of))
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_id = [self.id_of[bytes([b])] for b in range(256)]
+        self.base = max(self.bytes_of) + 1
+        #: Of two neighbours (a * base + b): the merge's rank, then the id that it makes.
+        self.rank: dict[int, int] = {}
         for n, m in enumerate(spec["model"]["merges"]):
             a, b = (as_bytes(x) for x in (m if isinstance(m, list) else m.split(" ")))
-            self.rank[self.id_of[a], self.id_of[b]] = (n, self.id_of[a + b])
-        self.base = max(self.bytes_of) + 1
+            self.rank[self.id_of[a] * self.base + self.id_of[b]] = (n << _ID_BITS) | self.id_of[a + b]
         self.words = regex.compile(PATTERN)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.fits: dict[int, bool] = {}
@@ -66,20 +71,20 @@ class Coder:
 
     def merged(self, word: bytes) -> list[int]:
         """Exact: the lowest-ranked pair is merged, leftmost first, until none is left."""
-        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            best = min((self.rank[p] for p in zip(ids, ids[1:]) if p in self.rank), default=None)
-            if best is None:
+        ids = [self.byte_id[c] for c in word]
+        rank, base = self.rank, self.base
+        ranks = [rank.get(a * base + b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
                 break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.rank.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            new = ids[i] = best & _ID
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank.get(ids[i - 1] * base + new, _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank.get(new * base + ids[i + 1], _NEVER)
         return ids
 
     def greedy(self, word: bytes) -> list[int]:
