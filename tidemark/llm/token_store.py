@@ -21,10 +21,10 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +42,10 @@ PERCENTILE = 95.0
 #: Blocks that are gathered before they are written.
 GROUP = 64
 CACHE_WORDS = 400_000
-
-_BLANKS = re.compile(r"[\t-\r ]+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: Words that the library encodes in one call.
+CALL_WORDS = 2000
+#: A letter never merges with these, and none of them alone begins a contraction.
+STOPS = b".,;:!?"
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -79,31 +80,56 @@ def unpack_block(data: memoryview, at: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts through a bounded cache of words, each encoded by the library."""
+    """Ids of texts through a bounded cache of words, each encoded by the library.
+
+    Words are bytes between ASCII blanks, with A-Z in lower case, which the
+    tokenizer does itself; texts that may hold an added token's string keep their
+    case.  A word of letters and a full stop or the like is the letters' ids and
+    the stop's.
+    """
 
     def __init__(self, tok):
         self.tok = tok
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        got = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in got]
+    def _ask(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word: the library encodes many with blanks between and tells where each id stands."""
+        out: list[list[int]] = []
+        for i in range(0, len(words), CALL_WORDS):
+            shown = [w.decode() for w in words[i : i + CALL_WORDS]]
+            got = self.tok.encode(" ".join(shown), add_special_tokens=False)
+            sizes = np.fromiter(map(len, shown), np.int64, len(shown))
+            at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+            cut = np.searchsorted(at, np.cumsum(sizes + 1) - sizes - 1).tolist()
+            ids = got.ids
+            out += [ids[a:b] for a, b in zip(cut, [*cut[1:], len(ids)])]
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        ended = [w for w in words if w[-1] in STOPS and w[:-1].isalpha()]
+        rest = list(set(words).difference(ended).union(w[:-1] for w in ended).union(w[-1:] for w in ended).difference(self.index))
+        self._add(rest, self._ask(rest))
+        ids = lambda w: self.flat[self.begin[k := self.index[w]] : self.begin[k] + self.size[k]].tolist()
+        stop = {c: ids(c) for c in {w[-1:] for w in ended}}
+        self._add(ended, [ids(w[:-1]) + stop[w[-1:]] for w in ended])
+
+    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         begin = len(self.flat) + np.cumsum(sizes) - sizes
         self.index.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
-        # str.split() also cuts at U+001C to U+001F, which are not white space to the library.
-        split = [_BLANKS.split(t) if _ODD.search(t) else t.split() for t in texts]
-        words = [w for s in split for w in s]
+        raw = [t.encode() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        words = list(chain.from_iterable(split))
         fresh = list(set(words).difference(self.index))
         if fresh:
             if len(self.index) + len(fresh) > CACHE_WORDS and self.index:
