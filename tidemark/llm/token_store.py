@@ -41,7 +41,9 @@ BLOCK = 4096
 PERCENTILE = 95.0
 #: Blocks that are gathered before they are written.
 GROUP = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Suffix of the tokens that end a word.
+WORD_END = "</w>"
 #: Words that the library encodes in one call.
 CALL_WORDS = 2000
 #: A letter never merges with these, and none of them alone begins a contraction.
@@ -51,7 +53,8 @@ STOPS = b".,;:!?"
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = (ids - low).astype(np.uint32)
-    width = int(np.percentile(rest, PERCENTILE, method="higher")).bit_length()
+    k = int(np.ceil(PERCENTILE / 100 * (len(rest) - 1)))
+    width = int(np.partition(rest, k)[k]).bit_length()
     over = np.flatnonzero(rest >> width) if width < 32 else np.zeros(0, np.int64)
     small = rest & np.uint32((1 << width) - 1)
     if width == 16:
@@ -79,6 +82,10 @@ def unpack_block(data: memoryview, at: int) -> np.ndarray:
     return rest + np.uint32(low)
 
 
+def _letters(word: bytes) -> bool:
+    return word.isalpha() or (not word.isascii() and word.decode().isalpha())
+
+
 class WordEncoder:
     """Ids of texts through a bounded cache of words, each encoded by the library.
 
@@ -90,6 +97,9 @@ class WordEncoder:
 
     def __init__(self, tok):
         self.tok = tok
+        vocab = tok.get_vocab()
+        last = [i for t, i in vocab.items() if t.endswith(WORD_END)]
+        self.ends_word = np.isin(np.arange(max(vocab.values()) + 1), last) if last else None
         self.clear()
 
     def clear(self) -> None:
@@ -110,24 +120,51 @@ class WordEncoder:
             out += [ids[a:b] for a, b in zip(cut, [*cut[1:], len(ids)])]
         return out
 
+    def _ask_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids of words of letters, and each word's number: a word's last id is one that ends words.
+
+        None if some word isn't one pre-token after all (lower case may add a mark).
+        """
+        calls = [b" ".join(words[i : i + CALL_WORDS]).decode() for i in range(0, len(words), CALL_WORDS)]
+        got = self.tok.encode_batch_fast(calls, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got]) if got else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return None
+        return ids, np.diff(ends, prepend=0)
+
     def learn(self, words: list[bytes]) -> None:
-        ended = [w for w in words if w[-1] in STOPS and w[:-1].isalpha()]
-        rest = list(set(words).difference(ended).union(w[:-1] for w in ended).union(w[-1:] for w in ended).difference(self.index))
-        self._add(rest, self._ask(rest))
-        ids = lambda w: self.flat[self.begin[k := self.index[w]] : self.begin[k] + self.size[k]].tolist()
-        stop = {c: ids(c) for c in {w[-1:] for w in ended}}
-        self._add(ended, [ids(w[:-1]) + stop[w[-1:]] for w in ended])
-
-    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ended = [w for w in words if w[-1] in STOPS and _letters(w[:-1])]
+        need = set(words).difference(ended).union(w[:-1] for w in ended).union(w[-1:] for w in ended).difference(self.index)
+        letters = [w for w in need if _letters(w)] if self.ends_word is not None else []
+        got = self._ask_letters(letters) if letters else None
+        if got is None:
+            letters = []
+        else:
+            self._add(letters, *got)
+        rest = list(need.difference(letters))
+        ids = self._ask(rest)
+        self._add(rest, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        if ended:
+            core = np.fromiter((self.index[w[:-1]] for w in ended), np.int64, len(ended))
+            stop = np.fromiter((self.index[w[-1:]] for w in ended), np.int64, len(ended))
+            both = np.stack([core, stop], 1).ravel()
+            self._add(ended, self._gather(both), self.size[core] + self.size[stop])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of words by their numbers, one after the other."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         begin = len(self.flat) + np.cumsum(sizes) - sizes
         self.index.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, ids])
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text's."""
-        raw = [t.encode() for t in texts]
+    def encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts in UTF-8, and the number of each text's."""
         split = [(t if b"<|" in t else t.lower()).split() for t in raw]
         words = list(chain.from_iterable(split))
         fresh = list(set(words).difference(self.index))
@@ -137,16 +174,21 @@ class WordEncoder:
                 fresh = list(set(words))
             self.learn(fresh)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids, ends = self._gather(at), np.cumsum(self.size[at])
         of_text = np.fromiter(map(len, split), np.int64, len(split))
         return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(of_text)])])
 
 
+#: Of a worker process, which serves many tasks.
+_encoders: dict[int, WordEncoder] = {}
+
+
 def _writer(shipped: Broadcast, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(load_tokenizer(shipped))
+        key = hash(shipped.value)
+        if key not in _encoders:
+            _encoders[key] = WordEncoder(load_tokenizer(shipped))
+        coder = _encoders[key]
         row = lambda b: pa.record_batch([pa.array([b], pa.binary())], names=["value"])
         ids_of: list[int] = []
         null_of: list[bool] = []
@@ -170,8 +212,8 @@ def _writer(shipped: Broadcast, end_id: int):
             if not begun:
                 begun, at = True, len(MAGIC) + 1
                 yield row(MAGIC)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, sizes = coder.encode(texts)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            ids, sizes = coder.encode([t or b"" for t in texts])
             whole = np.insert(ids, np.cumsum(sizes), end_id)
             key = batch.column(0)
             ids_of += [x or 0 for x in key.to_pylist()]
