@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, utf8
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
@@ -63,7 +64,7 @@ class Piece:
     def __init__(self, start: int, encoding):
         self.start = start
         self.ids = np.array(encoding.ids, np.int64)
-        self.spans = np.array(encoding.offsets, np.int64).reshape(-1, 2) + start
+        self.spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(self.ids)).reshape(-1, 2) + start
 
     def between(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         at = (self.spans[:, 0] >= a) & (self.spans[:, 1] <= b)
@@ -114,7 +115,7 @@ def _counter(shipped: Broadcast, chunk: int, overlap: int):
         tok = load_tokenizer(shipped)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n_bytes = np.array([len(t.encode()) for t in texts], np.int64)
+            n_bytes = np.diff(utf8(batch.column(1))[1])
             n = np.zeros(len(texts), np.int64)
             call, chars = [], 0
             for i, t in enumerate([*texts, None]):
