@@ -6,12 +6,12 @@ probability equal to their weighted Jaccard similarity.  ``ROWS`` samples make a
 band, and nodes that agree in a band share a bucket.
 
 A bucket's nodes are not paired with each other.  In each round every bucket has
-leaders, its nodes are compared with them in full (weighted Jaccard over all
-shingles of the whole texts), and nodes that aren't yet in a leader's class stay
-for the next round, with more leaders; a bucket is done when what is left of it
-is in one class.  The first leader is the node with the most bucket mates, which
-in a group of edited copies is the text that they come from.  Classes are the
-connected components of verified links.
+leaders, and its nodes of other classes are compared with them in full (weighted
+Jaccard over all shingles of the whole texts).  A leader is then done with the
+bucket; the bucket is done when its other nodes are in one class.  So each two of
+a bucket are compared, unless they are in one class by then.  The first leader is
+the node with the most bucket mates, which in a group of edited copies is the
+text that they come from.  Classes are the connected components of verified links.
 
 Defined results: null text counts as empty; a text without a word is a class with
 its equals only; a null id is in no class (null); rows that repeat an id are in
@@ -164,29 +164,37 @@ def _verifier(shipped: Broadcast, threshold: float):
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, mates, samples) of all buckets with two nodes at least."""
+    """(bucket, node, mates, bands, samples) of all buckets with two nodes at least."""
     members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(members.join(shared.hint("merge"), "bucket"), "members")
-    mates = members.groupBy("node").agg(F.sum("n").alias("mates")).join(nodes.select("node", "samples"), "node")
-    return materialise(members.drop("n").join(mates.hint("merge"), "node").select("bucket", "node", "mates", "samples"), "members")
+    mates = members.groupBy("node").agg(F.sum("n").alias("mates")).join(nodes.select("node", "bands", "samples"), "node")
+    return materialise(members.drop("n").join(mates.hint("merge"), "node").select("bucket", "node", "mates", "bands", "samples"), "members")
 
 
 def _leads(members: DataFrame, turn: int) -> DataFrame:
-    """``members`` with ``lead``: at first the node with the most bucket mates, later about LEADERS drawn nodes."""
+    """``members`` with ``lead``.
+
+    At first the node with the most bucket mates, later about LEADERS drawn nodes
+    of those that are outside the bucket's largest class.
+    """
     if turn == 0:
         first = members.groupBy("bucket").agg(F.min(F.struct((-F.col("mates")).alias("o"), F.col("node").alias("node"))).alias("x"))
         return members.join(first.hint("merge"), "bucket").withColumn("lead", F.col("node") == F.col("x.node")).drop("x")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("node", F.lit(turn))).alias("low"))
-    drawn = F.xxhash64("node", F.lit(turn))
-    return members.join(sizes.hint("merge"), "bucket").withColumn("lead", (F.pmod(drawn, F.col("n")) < LEADERS) | (drawn == F.col("low"))).drop("n", "low")
+    classes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = classes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("n"))
+    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n") - F.col("x.n")) < LEADERS
+    return members.join(sizes.hint("merge"), "bucket").withColumn("lead", (F.col("label") != F.col("x.label")) & drawn).drop("n", "x")
 
 
 def _pairs(members: DataFrame, least: int) -> DataFrame:
-    """(a, label_a, b, label_b): each node with the leaders of its buckets, once, unless samples rule it out."""
+    """(a, label_a, b, label_b): each node with the leaders of its buckets, unless samples rule it out.
+
+    Two nodes are compared in the first of the buckets that they share, and there only.
+    """
     left, right = members.alias("l"), members.filter("lead").alias("r")
     alike = F.aggregate(F.zip_with("l.samples", "r.samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    met = F.array_min(F.array_intersect("l.open", "r.open")) == F.col("l.bucket")
+    met = F.array_min(F.array_intersect("l.bands", "r.bands")) == F.col("l.bucket")
     on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.label") != F.col("r.label")) & (~F.col("l.lead") | (F.col("l.node") < F.col("r.node"))) & met & (alike >= least)
     return left.join(right.hint("merge"), on).select(F.col("l.node").alias("a"), F.col("l.label").alias("label_a"), F.col("r.node").alias("b"), F.col("r.label").alias("label_b"))
 
@@ -205,8 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = materialise(members.select("node", F.col("node").alias("label")).distinct(), "labels")
     members, turn = members.withColumn("label", F.col("node")), 0
     while not members.isEmpty():
-        open_ = members.groupBy("node").agg(F.collect_set("bucket").alias("open"))
-        members = materialise(_leads(members.join(open_.hint("merge"), "node"), turn), "members")
+        members = materialise(_leads(members, turn), "members")
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         compared = materialise(_pairs(members, min_alike(MORE_SAMPLES if turn else BANDS * ROWS, threshold)), "pairs").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("label_a", "label_b", "text_a", "text_b")
@@ -215,10 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = components(found).withColumnRenamed("node", "label")
         relabel = lambda df: df.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
         labels = materialise(relabel(labels), "labels")
-        members = materialise(relabel(members).drop("open"), "relabelled")
-        # Nodes that are in no leader's class yet, in buckets where these are of two classes at least.
-        done = members.filter("lead").select("bucket", "label").distinct()
-        rest = materialise(members.join(done.hint("merge"), ["bucket", "label"], "left_anti").drop("lead"), "rest")
+        # A leader is done with its bucket, and so is a bucket whose other nodes are of one class.
+        rest = materialise(relabel(members.filter("not lead").drop("lead")), "rest")
         several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
         members = materialise(rest.join(several.hint("merge"), "bucket", "left_semi"), "members")
         if turn == 0:
