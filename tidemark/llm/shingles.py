@@ -126,31 +126,34 @@ class Weights:
 
 #: Share of documents below which all shingles count as equally rare.
 FLOOR = 1 / 256
-#: Texts that are counted together when frequent shingles are looked for.
-COUNT_TEXTS = 8192
+#: At least about so many texts are counted together when frequent shingles are looked for.
+COUNT_TEXTS = 4096
 #: Frequent shingles that are broadcast, 16 bytes each; see :func:`fit_weights`.
 MOST_FREQUENT = 1 << 20
 
 
 def _locally_frequent(floor: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[int, np.ndarray]] = []
         n = 0
 
-        def flush() -> pa.RecordBatch:
-            got, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = times >= max(2, floor * n)
+        def flush(upto: int) -> pa.RecordBatch:
+            got, times = np.unique(np.concatenate([h for _, h in held[:upto]]), return_counts=True)
+            keep = times >= floor * sum(rows for rows, _ in held[:upto])
             return pa.record_batch([pa.array(got[keep].astype(np.int64))], names=["h"])
 
         for batch in batches:
-            for _, _, _, h, _ in shingle_blocks(batch.column(0)):
-                held.append(h)
-            n += batch.num_rows
-            if n >= COUNT_TEXTS:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
+            for a, b, _, h, _ in shingle_blocks(batch.column(0)):
+                held.append((b - a, h))
+                n += b - a
+                if n >= 2 * COUNT_TEXTS:
+                    # About half stays, so that the last part is no small one, in which any shingle is frequent.
+                    half = len(held) // 2
+                    yield flush(half)
+                    n -= sum(rows for rows, _ in held[:half])
+                    del held[:half]
+        if held:
+            yield flush(len(held))
 
     return find
 
@@ -187,7 +190,9 @@ def fit_weights(texts: DataFrame, floor: float = FLOOR) -> Weights:
     """
     spark = texts.sparkSession
     n_docs = texts.count()
-    candidates = texts.mapInArrow(_locally_frequent(floor), "h bigint").distinct()
+    # Small parts of the table are read in one task, without a shuffle.
+    parts = max(spark.sparkContext.defaultParallelism, n_docs // (2 * COUNT_TEXTS))
+    candidates = texts.coalesce(parts).mapInArrow(_locally_frequent(floor), "h bigint").distinct()
     got = candidates.limit(MOST_FREQUENT + 1).toPandas()["h"].to_numpy(np.int64)
     if not len(got):
         return Weights(np.zeros(0, np.uint64), np.zeros(0), n_docs, floor)
