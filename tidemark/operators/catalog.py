@@ -82,3 +82,18 @@ def register(wanted: DataFrame, known: DataFrame, keys: list[str], kind: list[st
     got = wanted.join(of_kind, [*keys, *kind], "left")
     state = F.when(F.col("_n").isNull(), "created").when(F.col("_n") == 1, "current").otherwise("updated")
     return got.withColumn("state", state).drop("_n")
+
+
+def maintain(known: DataFrame, scanned: DataFrame, keys: list[str], config: list[str]) -> DataFrame:
+    """The catalog after a scan: keys, config, ``state`` ("new", "changed", "same" or "missing") and ``was``, the former config of changed rows.
+
+    Rows that a scan lacks stay as they are, since files come and go.
+    """
+    old = known.select(*keys, F.struct(*config).alias("_old"))
+    new = scanned.select(*keys, F.struct(*config).alias("_new"))
+    both = old.join(new, keys, "full")
+    same = F.col("_old").eqNullSafe(F.col("_new"))
+    state = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "missing").when(same, "same").otherwise("changed")
+    now = F.coalesce("_new", "_old")
+    out = both.withColumn("state", state)
+    return out.select(*keys, *[now[c].alias(c) for c in config], "state", F.when(F.col("state") == "changed", F.col("_old")).alias("was"))

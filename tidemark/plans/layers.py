@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .grid import next_finer
 
 
@@ -41,3 +44,12 @@ def source_for(width: int, layers: list[int], cache: CacheUsage = CacheUsage.IGN
             raise ValueError(f"layer {finer} doesn't divide {width}")
         return Source("rebin", finer)
     return Source("events") if allow_events else Source("empty")
+
+
+def day_sources(index: DataFrame, wanted: int) -> DataFrame:
+    """Of each series and day the coarsest width up to ``wanted`` that the index has; of equal ones the tier that keeps longest.
+
+    ``index``: series, day, width, tier (larger keeps longer).
+    """
+    best = F.max(F.struct("width", "tier")).alias("s")
+    return index.filter(F.col("width") <= wanted).groupBy("series", "day").agg(best).select("series", "day", "s.*")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions.projection import array_pick, to_number
 from .operators import binning, catalog, ingest, series, usage
 from .plans.grid import DAY, HOUR, LAYERS, MIN, SEC, Grid, by_count, by_width
-from .sources.encode import with_offsets
+from .plans.layers import day_sources
+from .sources.encode import download_frame, with_offsets
 from .sources.tables import events, test_series
 
 # The events table's month.
@@ -65,12 +66,13 @@ def events_last_before(spark, d):
     return series.last_before(events(spark, d), MID)
 
 
-@query(f"""{EV}, u AS (SELECT *, 0 AS src FROM ev WHERE event_id % 3 <> 0 UNION ALL SELECT series, ts_ns, value + 1, event_id, user_id, 1 FROM ev WHERE event_id % 3 <> 1),
+@query(f"""{EV}, u AS (SELECT *, 0 AS src FROM ev WHERE ts_ns < {LATE} UNION ALL SELECT series, ts_ns, value + 1, event_id, user_id, 1 FROM ev WHERE ts_ns >= {MID}),
     r AS (SELECT *, row_number() OVER (PARTITION BY series, ts_ns ORDER BY src, event_id) AS n FROM u) SELECT {ROWS} FROM r WHERE n = 1""")
 def events_merge_dedup(spark, d):
     ev = events(spark, d)
-    a = ev.filter("event_id % 3 <> 0").withColumn("src", F.lit(0))
-    b = ev.filter("event_id % 3 <> 1").withColumn("value", F.col("value") + 1).withColumn("src", F.lit(1))
+    # Two archives that overlap in time.
+    a = ev.filter(F.col("ts_ns") < LATE).withColumn("src", F.lit(0))
+    b = ev.filter(F.col("ts_ns") >= MID).withColumn("value", F.col("value") + 1).withColumn("src", F.lit(1))
     return series.merge_dedup(a.unionByName(b), "src", "event_id")
 
 
@@ -95,10 +97,10 @@ def collect_limit_bytes(spark, d):
     return series.collect_limit(events(spark, d), 80_000, 1000)
 
 
-@query("SELECT event_id, event_type, 'left' AS side FROM events WHERE event_id % 7 = 0 AND event_id % 5 <> 0 UNION ALL SELECT event_id, event_type, 'right' FROM events WHERE event_id % 7 <> 0 AND event_id % 5 = 0")
+@query(f"{EV} SELECT event_id, series, 'left' AS side FROM ev WHERE ts_ns < {MID} UNION ALL SELECT event_id, series, 'right' FROM ev WHERE ts_ns >= {LATE}")
 def stream_compare(spark, d):
-    ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")
-    return series.differences(ev.filter("event_id % 7 = 0"), ev.filter("event_id % 5 = 0"))
+    ev = events(spark, d)
+    return series.differences(ev.filter(F.col("ts_ns") < LATE).select("event_id", "series"), ev.filter(F.col("ts_ns") >= MID).select("event_id", "series"))
 
 
 @query(f"{EV} SELECT series, ts_ns, event_id, event_id - lag(event_id) OVER (PARTITION BY series ORDER BY ts_ns, event_id) AS pulse_diff FROM ev")
@@ -204,7 +206,7 @@ def bins_edge_aligned(spark, d):
     SELECT series, bin * %d AS ts1, (bin + 1) * %d AS ts2, CAST(sum(cnt) AS BIGINT) AS cnt, min(min) AS min, max(max) AS max, round(sum(avg * (ts2 - ts1)) / sum(ts2 - ts1), 4) AS avg, arg_max(lst, ts1) AS lst, true AS fnl
     FROM c GROUP BY series, bin HAVING sum(cnt) > 0""" % (bins_sql(HOURLY), DAY, DAY, DAY))
 def rebin_1h_to_1d(spark, d):
-    return binning.rebin(binning.bin_events(_ordered(spark, d), HOURLY, scale=100), DAY).withColumn("avg", F.round("avg", 4))
+    return binning.rebin(_round(binning.bin_events(_ordered(spark, d), HOURLY, scale=100), "avg"), DAY).withColumn("avg", F.round("avg", 4))
 
 
 @query(bins_sql(HOURLY))
@@ -261,6 +263,19 @@ def json_anchor_columns(spark, d):
     return with_offsets(events(spark, d)).select("event_id", "ts_anchor", "ts_ms", "ts_off_ns")
 
 
+@query(f"""{EV} SELECT event_id, series, printf('%08X', 17 + strlen(series)) || '01' || printf('%016X', ts_ns) || printf('%016X', event_id) || hex(series) || printf('%08X', 17 + strlen(series)) AS frame FROM ev""")
+def download_frames(spark, d):
+    return events(spark, d).select("event_id", "series", F.hex(download_frame("ts_ns", "event_id", "series")).alias("frame"))
+
+
+@query(f"""WITH r AS ({ROLLED_SQL}), i AS (SELECT DISTINCT series, ts1 // {DAY} AS day, width, CASE WHEN width < {HOUR} THEN 1 ELSE 2 END AS tier FROM r)
+    SELECT series, day, max(width) AS width, arg_max(tier, width) AS tier FROM i WHERE width <= {4 * HOUR} GROUP BY 1, 2""")
+def day_source_choice(spark, d):
+    tier = F.when(F.col("width") < HOUR, 1).otherwise(2)
+    index = _rolled(spark, d).select("series", F.expr(f"ts1 div {DAY}").alias("day"), "width", tier.alias("tier")).distinct()
+    return day_sources(index, 4 * HOUR)
+
+
 # ---------------------------------------------------------------- write path
 
 
@@ -371,6 +386,16 @@ def register_series(spark, d):
     return catalog.register(wanted, known, ["o_custkey"], ["o_orderstatus"])
 
 
+@query("""SELECT coalesce(c_custkey, s_suppkey) AS key, coalesce(s_nationkey, c_nationkey) AS nationkey,
+    CASE WHEN c_custkey IS NULL THEN 'new' WHEN s_suppkey IS NULL THEN 'missing' WHEN c_nationkey = s_nationkey THEN 'same' ELSE 'changed' END AS state,
+    CASE WHEN c_nationkey <> s_nationkey THEN c_nationkey END AS was
+    FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""")
+def catalog_maintain(spark, d):
+    known = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nationkey"))
+    scanned = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nationkey"))
+    return catalog.maintain(known, scanned, ["key"], ["nationkey"]).withColumn("was", F.col("was.nationkey"))
+
+
 # ---------------------------------------------------------------- usage, pulses, status
 
 USAGE = f"{EV}, a AS (SELECT ts_ns // {10 * MIN} * {10 * MIN} AS snap_ns, series, count(*) AS count, CAST(sum(strlen(series) + 16) AS BIGINT) AS bytes FROM ev GROUP BY 1, 2)"

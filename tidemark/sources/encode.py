@@ -58,3 +58,57 @@ def binary_frames(bodies: Iterable[bytes]) -> Iterator[bytes]:
     """Length as 32-bit little-endian, 12 zero bytes, body, zeros up to a multiple of 8."""
     for body in bodies:
         yield struct.pack("<I12x", len(body)) + body + b"\0" * (-len(body) % 8)
+
+
+def cbor(value: object) -> bytes:
+    """RFC 8949 form of maps, lists, texts, whole numbers, doubles, booleans and null."""
+    if value is None or isinstance(value, bool):
+        return {None: b"\xf6", True: b"\xf5", False: b"\xf4"}[value]
+    if isinstance(value, float):
+        return b"\xfb" + struct.pack(">d", value)
+    if isinstance(value, int):
+        return _cbor_head(0, value) if value >= 0 else _cbor_head(1, -1 - value)
+    if isinstance(value, str):
+        return _cbor_head(3, len(value.encode())) + value.encode()
+    if isinstance(value, dict):
+        return _cbor_head(5, len(value)) + b"".join(cbor(x) for pair in value.items() for x in pair)
+    items = list(value)  # type: ignore[call-overload]
+    return _cbor_head(4, len(items)) + b"".join(map(cbor, items))
+
+
+def _cbor_head(major: int, n: int) -> bytes:
+    if n < 24:
+        return bytes([major << 5 | n])
+    width = next(w for w in range(4) if n < 1 << (8 << w))
+    return bytes([major << 5 | 24 + width]) + n.to_bytes(1 << width, "big")
+
+
+def events_cbor(rows: Iterable[tuple[int, object]], scalar_type: str, range_final: bool = False) -> bytes:
+    """One document of ordered (ts_ns, value) rows."""
+    rows = list(rows)
+    doc: dict = {"tss": [t for t, _ in rows], "values": [v for _, v in rows], "scalar_type": scalar_type}
+    return cbor(doc | ({"rangeFinal": True} if range_final else {}))
+
+
+def bins_cbor(rows: Iterable[dict], range_final: bool = False) -> bytes:
+    """One document of ordered bins with ts1, ts2, cnt, min, max, avg."""
+    rows = list(rows)
+    names = {"ts1s": "ts1", "ts2s": "ts2", "counts": "cnt", "mins": "min", "maxs": "max", "avgs": "avg"}
+    return cbor({k: [r[c] for r in rows] for k, c in names.items()} | ({"rangeFinal": True} if range_final else {}))
+
+
+def _unsigned(number: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(number.cast("long")), 2 * size, "0"))
+
+
+def download_frame(ts: str, pulse: str, payload: str) -> Column:
+    """An event of the binary download: length and 1, time, pulse, payload, length again; all big-endian."""
+    length = _unsigned(F.octet_length(payload) + 17, 4)
+    return F.concat(length, F.unhex(F.lit("01")), _unsigned(F.col(ts), 8), _unsigned(F.col(pulse), 8), F.col(payload).cast("binary"), length)
+
+
+def download_header(header: dict) -> bytes:
+    """The frame that precedes a channel's events: length and 0, JSON, length again."""
+    body = json.dumps(header, separators=(",", ":")).encode()
+    length = struct.pack(">I", len(body) + 1)
+    return length + b"\0" + body + length
