@@ -212,6 +212,24 @@ def test_near_duplicates(docs, empty):
     assert stay.columns == docs.columns and stay.filter("doc_id in (6, 7, 8)").count() == 1
 
 
+def test_near_duplicates_in_chains(spark):
+    """Neighbours of a chain are alike, others aren't; copies of one link make it the leader."""
+    words = prose(300).split()
+    chain = [" ".join([f"new{i}" if i < 13 * k else w for i, w in enumerate(words)]) for k in range(8)]
+    rows = [(100 + i, t) for i, t in enumerate(chain)] + [(200 + i, chain[3] + f" tail{i}") for i in range(40)] + [(1, prose(50))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["class_id"] for r in got if r["doc_id"] > 1} == {100}
+    assert [r["class_id"] for r in got if r["doc_id"] == 1] == [1]
+
+
+def test_frequent_shingles_in_any_split(spark):
+    """Each document has one shingle of its own, every third also three that these share."""
+    docs = spark.range(600).selectExpr("concat('a', id, ' b c d e', if(id % 3 = 0, ' f g h', '')) AS text")
+    one, many = (shingles.fit_weights(docs.repartition(n)) for n in (1, 40))
+    assert one.hashes.tolist() == many.hashes.tolist() and one.factor.tolist() == many.factor.tolist()
+    assert len(one.hashes) == 3
+
+
 def test_weighted_jaccard():
     none = shingles.Weights(np.zeros(0, np.uint64), np.zeros(0), 1, 0.5)
     got = near_dedup.weighted_jaccard(pa.array(["a b c d e f", "", "a b", "x y z"]), pa.array(["a b c d e g", "", "A, b!", "x y"]), none)
