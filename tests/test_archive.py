@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.plans.grid import MS
-from tidemark.sources import archive, encode
+from tidemark.sources import archive, encode, frames
 
 
 def event(ts, payload, dtype=7, flags=archive.BIG_ENDIAN, dims=b"", compressed=b""):
@@ -91,3 +91,22 @@ def test_cbor_and_frames(spark):
     (row,) = df.select(encode.download_frame("ts_ns", "pulse", "payload").alias("f")).collect()
     assert bytes(row.f) == struct.pack(">IBQQ", 19, 1, 5, 6) + b"ab" + struct.pack(">I", 19)
     assert encode.download_header({"name": "x"})[:5] == struct.pack(">IB", 13, 0)
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_frames(spark, tmp_path, streaming):
+    docs = [encode.events_cbor([(5, 1.5), (2**40, -7)], "f64"), encode.events_cbor([], "f64"), encode.events_cbor([(6, "on"), (7, True), (8, None)], "string")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"".join(encode.binary_frames(docs)))
+    df = frames.read_frames(spark, str(tmp_path / "in"), streaming)
+    if streaming:
+        df.writeStream.format("memory").queryName("frames_seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
+        df = spark.table("frames_seen")
+    assert [(r.ts_ns, r.value, r.text) for r in df.orderBy("ts_ns").collect()] == [(5, 1.5, None), (6, None, "on"), (7, 1.0, None), (8, None, None), (2**40, -7.0, None)]
+
+
+def test_truncated_frames():
+    with pytest.raises(ValueError, match="truncated frame"):
+        list(frames.bodies(next(encode.binary_frames([b"abcd"]))[:18]))
+    with pytest.raises(ValueError, match="CBOR"):
+        frames.from_cbor(encode.cbor(["abc", 1])[:-2])

@@ -100,6 +100,8 @@ def test_encoders():
 
 
 def test_generators(spark):
+    whole = generated(spark, "i16-wave-v00", 0, 10**9).orderBy("ts_ns").first()["value"]
+    assert len(whole) == 21 and whole[0] == 0 and whole[10] == 4
     wave = generated(spark, "f64-wave-v00", 0, 10**9)
     assert wave.count() == 10 and len(wave.first()["value"]) == 21
     assert generated(spark, "i32-v01", 0, 10**20 // 10**6).filter("ts_ns >= 86400 * 1000000000L").count() == 0

@@ -19,8 +19,8 @@ def events(spark: SparkSession, sf_dir: str, series: str = "event_type") -> Data
 
 
 def test_series(spark: SparkSession, kind: str, beg: int, end: int) -> DataFrame:
-    """Generated series: "i32-v00", "i32-v01" or "f64-wave-v00"."""
-    step = {"i32-v00": 1000 * MS, "i32-v01": 500 * MS, "f64-wave-v00": 100 * MS}[kind]
+    """Generated series: "i32-v00", "i32-v01", "f64-wave-v00" or "i16-wave-v00"."""
+    step = {"i32-v00": 1000 * MS, "i32-v01": 500 * MS, "f64-wave-v00": 100 * MS, "i16-wave-v00": 100 * MS}[kind]
     if kind == "i32-v01":
         end = min(end, 86_400 * SEC)
     ts = spark.range(-(-beg // step), -(-end // step)).select((F.col("id") * step).alias("ts_ns"))
@@ -31,4 +31,6 @@ def test_series(spark: SparkSession, kind: str, beg: int, end: int) -> DataFrame
     else:
         wave = F.sin(F.col("ts_ns") / step) + 2
         value = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: (F.cos(-F.pi() + 2 * F.pi() / 20 * i) + 1.1) * wave)
+        if kind == "i16-wave-v00":
+            value = value.cast("array<smallint>")
     return ts.select(F.lit(kind).alias("series"), "ts_ns", value.alias("value"))
