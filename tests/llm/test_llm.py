@@ -186,6 +186,47 @@ def test_weaker_rules_are_suppressed(spark):
     assert got[1]["labels"] == "gpl-3" and got[2]["n_base"] == 2 and got[2]["labels"] == "mit"
 
 
+def alternatives(parsed):
+    """Texts that a pattern matches: each branch, option and letter of it at least once."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            some = [chr(arg)]
+        elif op == "BRANCH":
+            some = [t for branch in arg[1] for t in alternatives(branch)]
+        elif op == "SUBPATTERN":
+            some = alternatives(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = ([""] if arg[0] == 0 else []) + alternatives(arg[2])
+        elif op == "IN":
+            some = [chr(x[0] if isinstance(x, tuple) else x) if str(k) != "CATEGORY" else "7" for k, x in arg]
+        else:
+            assert op == "ANY"
+            some = ["x"]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_every_alternative_of_every_license_rule_passes_the_filters(spark):
+    names = {(label, key, pattern) for label, key, pattern in license_scan.NAMES}
+    uses = [u for _, _, use in license_scan.USES for u in alternatives(re._parser.parse(use.replace("{}", "@")))]
+    name_texts = {(key, t) for _, key, pattern in names for t in alternatives(re._parser.parse(pattern))}
+    sentences = {(key, t) for _, key, pattern in license_scan.SENTENCES for t in alternatives(re._parser.parse(pattern))}
+    # A name is held against its keyword in one use, and every use with one name.
+    rows = {(key, f"license {t}") for key, t in name_texts} | {("isc", u.replace("@", "isc")) for u in uses} | sentences
+    df = spark.createDataFrame(sorted(rows), "key string, text string")
+    lost = df.filter(~license_scan.gate(df["text"], license_scan.BASE) | ~license_scan.F.contains(license_scan.normalised(df["text"]), df["key"]))
+    assert lost.collect() == []
+
+
+def test_licenses_whose_name_is_one_word(spark):
+    texts = {"Licensed under the Expat License": ("mit", 0.95), "FreeBSD License": ("bsd-2", 0.7), "SPDX-License-Identifier: 0BSD": ("0bsd", 1.0)}
+    texts["You can redistribute it and/or modify it under the terms of the GNU General Public License"] = ("gpl", 1.0)
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == dict(enumerate(texts.values()))
+
+
 def test_language(spark, docs, empty):
     rnd = random.Random(3)
     make = lambda w, n: " ".join(rnd.choices(w, k=n))

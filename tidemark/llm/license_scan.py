@@ -26,17 +26,20 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Names of licences: label, keyword that any match holds, pattern over words.
+# Names of licences: label, keyword that any match holds from a word's start, pattern over words.
 NAMES: list[tuple[str, str, str]] = [
-    ("mit", "mit", r"(?:mit|expat)"),
+    ("mit", "mit", r"mit"),
+    ("mit", "expat", r"expat"),
     ("mit-0", "mit", r"mit (?:no attribution|0)"),
     ("x11", "x11", r"x11"),
     ("isc", "isc", r"isc"),
     ("bsd", "bsd", r"(?:bsd|berkeley software distribution bsd)"),
-    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)"),
+    ("bsd-2", "freebsd", r"freebsd"),
     ("bsd-3", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd)"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)"),
+    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)"),
+    ("0bsd", "0bsd", r"0bsd"),
     ("apache", "apache", r"apache(?: software)?"),
     ("apache-1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1(?: [01])?"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
@@ -108,13 +111,13 @@ USES: list[tuple[int, float, str]] = [
 #: Every use has one of these, at a word's start.
 USE_WORDS = ("licens", "licenc", "under", "subject to", "governed", "covered", "spdx")
 
-# Sentences that only one licence has: label, keyword, pattern.
+# Sentences that only one licence has: label, keyword (as above), pattern.
 SENTENCES: list[tuple[str, str, str]] = [
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", "redistributions of source code", r"redistributions of source code must retain the above copyright notice"),
     ("bsd-3", "neither the name of", r"neither the name of .{1,80}? may be used to endorse or promote products"),
-    ("gpl", "free software foundation", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "you can redistribute it", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("zlib", "altered source versions", r"altered source versions must be plainly marked as such"),
     ("unlicense", "unencumbered software", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", r"(?:dedicated|released|placed|is|are) (?:in|into|to) the public domain"),
