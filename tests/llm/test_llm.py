@@ -253,6 +253,18 @@ def test_near_duplicates(docs, empty):
     assert stay.columns == docs.columns and stay.filter("doc_id in (6, 7, 8)").count() == 1
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    """Id 5 has a text of its own and an edited copy of id 3's; id 7 has two texts alike, one of them twice."""
+    alike, own, twice = prose(200), prose(200), prose(200)
+    rows = [(3, alike, "a"), (5, alike + " tail", "b"), (5, own, "c"), (7, twice, "d"), (7, twice + " tail", "e"), (7, twice, "f"), (7, twice + " tail", "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, tag string")
+    got = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True)] + [(7, 7, False)] * 2 + [(7, 7, True)] * 2
+    first, again = ({(r["doc_id"], r["text"], r["tag"]) for r in near_dedup.drop_near_copies(df.repartition(n)).collect()} for n in (1, 3))
+    assert first == again and len(first) == 3
+    assert {(3, alike), (5, own)} < {r[:2] for r in first}
+
+
 def test_near_duplicates_in_chains(spark):
     """Neighbours of a chain are alike, others aren't; copies of one link make it the leader."""
     words = prose(300).split()

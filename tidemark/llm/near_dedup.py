@@ -14,9 +14,11 @@ the node with the most bucket mates, which in a group of edited copies is the
 text that they come from.  Classes are the connected components of verified links.
 
 Defined results: null text counts as empty; a text without a word is a class with
-its equals only; a null id is in no class (null); rows that repeat an id are in
-one class; of equal texts the smallest id stands for all; an empty table gives no
-rows; extra columns are ignored, or carried through by :func:`drop_near_copies`.
+its equals only; a null id is in no class (null); of a class the smallest id
+stands for all, of several texts under it the one of the smallest digest; rows
+that repeat an id with unlike texts are in classes of their own, which then may
+have the same ``class_id``; an empty table gives no rows; extra columns are
+ignored, or carried through by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -199,25 +201,34 @@ def _pairs(members: DataFrame, least: int) -> DataFrame:
     return left.join(right.hint("merge"), on).select(F.col("l.node").alias("a"), F.col("l.label").alias("label_a"), F.col("r.node").alias("b"), F.col("r.label").alias("label_b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class), kept (id = class_id)."""
+def digest(text: Column) -> Column:
+    """A text's digest, the same as ``sign`` gives."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """One row per document: id, digest, class_id and class_digest (id and digest of the row that stands for its class).
+
+    Nodes and labels are digests, so that texts are told apart whatever their ids.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(fit_weights(slim.select("text")))
     signed = materialise(slim.mapInArrow(_signer(weights), "id bigint, digest binary, bands array<bigint>, samples array<int>"), "signed")
-    nodes = materialise(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "nodes")
+    nodes = materialise(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")).withColumnRenamed("digest", "node"), "nodes")
     members = _members(nodes)
-    texts = slim.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("id").distinct()
+    texts = slim.join(wanted, "id", "left_semi").select(digest(F.col("text")).alias("node"), "text").groupBy("node").agg(F.max("text").alias("text"))
     texts = materialise(texts, "member-texts")
     labels = materialise(members.select("node", F.col("node").alias("label")).distinct(), "labels")
     members, turn = members.withColumn("label", F.col("node")), 0
     while not members.isEmpty():
         members = materialise(_leads(members, turn), "members")
-        left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         compared = materialise(_pairs(members, min_alike(MORE_SAMPLES if turn else BANDS * ROWS, threshold)), "pairs").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("label_a", "label_b", "text_a", "text_b")
-        found = materialise(compared.mapInArrow(_verifier(weights, threshold), "a bigint, b bigint"), "verified")
+        found = materialise(compared.mapInArrow(_verifier(weights, threshold), "a binary, b binary"), "verified")
         # Classes found so far are the nodes of the next components.
         joined = components(found).withColumnRenamed("node", "label")
         relabel = lambda df: df.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
@@ -227,18 +238,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
         members = materialise(rest.join(several.hint("merge"), "bucket", "left_semi"), "members")
         if turn == 0:
-            unsettled = texts.join(members.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
-            more = materialise(unsettled.select("id", "text").mapInArrow(_sampler(weights), "node bigint, samples array<int>"), "samples")
+            unsettled = texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+            more = materialise(unsettled.select("node", "text").mapInArrow(_sampler(weights), "node binary, samples array<int>"), "samples")
             members = materialise(members.drop("samples").join(more.hint("merge"), "node"), "members")
         turn += 1
-    of_text = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
+    first = labels.join(nodes.select("node", "id").hint("merge"), "node").groupBy("label").agg(F.min(F.struct("id", "node")).alias("first"))
+    of_node = labels.join(first.hint("merge"), "label").select("node", "first")
+    of_text = nodes.select("node", "id").join(of_node, "node", "left").select(F.col("node").alias("digest"), F.coalesce("first", F.struct("id", "node")).alias("first"))
     out = signed.select("id", "digest").join(of_text.hint("merge"), "digest", "left")
-    class_id = F.when(F.col("id").isNotNull(), F.col("class_id"))
-    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"))
+    named = F.col("id").isNotNull()
+    return out.select("id", "digest", F.when(named, F.col("first.id")).alias("class_id"), F.when(named, F.col("first.node")).alias("class_digest"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: id, class_id (the smallest id of its class), kept (its id and text stand for the class)."""
+    stands = (F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    return _classes(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", F.coalesce(stands, F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, with all its columns: the smallest id's; rows of null id stay."""
-    kept = near_duplicates(docs, id_col, text_col, threshold).filter("kept").select(F.col(id_col).alias("_tm_id")).filter("_tm_id is not null").distinct()
-    stay = docs.join(kept, F.col(id_col) == F.col("_tm_id"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.filter(F.col(id_col).isNull()))
+    """One document of each class, with all its columns; rows of null id stay.
+
+    Of rows that repeat both the id and the text that stand for a class, the one
+    of the smallest hash of the other columns (as JSON) stays.
+    """
+    kept = _classes(docs, id_col, text_col, threshold).filter((F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).select(F.col("id").alias("_tm_id"), F.col("digest").alias("_tm_digest")).distinct()
+    marked = docs.withColumn("_tm_text", digest(F.col(text_col)))
+    stay = marked.join(kept, (F.col(id_col) == F.col("_tm_id")) & (F.col("_tm_text") == F.col("_tm_digest")), "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    one = stay.withColumn("_tm_n", F.row_number().over(Window.partitionBy(id_col, "_tm_text").orderBy(order))).filter("_tm_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))
