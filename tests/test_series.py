@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tidemark import queries
 from tidemark.operators import binning, ingest, series
 from tidemark.plans.grid import MS, Grid
 from tidemark.sources import encode
@@ -93,6 +94,14 @@ def test_expand_and_empty(spark):
     assert binning.bin_events(frame(spark, []), grid).count() == 0
 
 
+def test_edge_check_returns_every_kind_of_fault(spark, monkeypatch):
+    rows = [(0, 2, 1, 1.0, 3.0, 3.0 + 1e-12, 2.0), (2, 4, 1, 1.0, 3.0, 3.1, 2.0), (6, 8, 1, 1.0, 3.0, 2.0, 2.0), (8, 10, 0, 2.0, 3.0, 2.0, 2.0), (10, 12, 0, 2.0, 2.0, 2.0, 2.0)]
+    faulty = spark.createDataFrame([("a", *r) for r in rows], "series string, ts1 bigint, ts2 bigint, cnt bigint, min double, max double, avg double, lst double")
+    monkeypatch.setattr(queries, "_ordered", lambda *_: None)
+    monkeypatch.setattr(binning, "bin_events", lambda *_, **__: faulty)
+    assert sorted(r["ts1"] for r in queries.bins_edge_check(spark, "").collect()) == [2, 6, 8]
+
+
 def test_encoders():
     assert encode.events_json([(1_500_000_001, 1), (2_000_000_000, 2)]) == '{"tsAnchor": 1, "tsMs": [500, 1000], "tsNs": [1, 0], "values": [1, 2]}'
     assert next(encode.json_frames(["{}"])) == b"              2\n{}\n"

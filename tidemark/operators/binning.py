@@ -119,10 +119,10 @@ def expand(bins: DataFrame, grid: Grid) -> DataFrame:
 
 
 def edge_faults(bins: DataFrame) -> DataFrame:
-    """Bins that don't follow their predecessor, whose average is outside, or that are empty and not constant."""
+    """Bins that don't follow their predecessor, whose average is outside by more than 1e-9, or that are empty and not constant."""
     w = Window.partitionBy("series").orderBy("ts1")
     checked = bins.withColumn("_prev", F.lag("ts2").over(w))
-    bad = (F.col("_prev") != F.col("ts1")) | ~F.col("avg").between(F.col("min"), F.col("max")) | ((F.col("cnt") == 0) & ((F.col("min") != F.col("lst")) | (F.col("max") != F.col("lst"))))
+    bad = (F.col("_prev") != F.col("ts1")) | ~F.col("avg").between(F.col("min") - 1e-9, F.col("max") + 1e-9) | ((F.col("cnt") == 0) & ((F.col("min") != F.col("lst")) | (F.col("max") != F.col("lst"))))
     return checked.filter(bad).drop("_prev")
 
 

@@ -228,7 +228,7 @@ def bins_expand(spark, d):
 
 @query("SELECT 'x' AS series, CAST(0 AS BIGINT) AS ts1 WHERE false")
 def bins_edge_check(spark, d):
-    return binning.edge_faults(binning.bin_events(_ordered(spark, d), HOURLY, scale=100)).filter("ts1 < 0 or avg < min - 1e-9 or avg > max + 1e-9").select("series", "ts1")
+    return binning.edge_faults(binning.bin_events(_ordered(spark, d), HOURLY, scale=100)).select("series", "ts1")
 
 
 ROLLED = [10 * MIN, HOUR, DAY]
