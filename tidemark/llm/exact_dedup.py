@@ -24,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .shared import materialise, plain, small_batches, tasks
+from .shared import materialise, plain, tasks
 
 #: Bytes of a text that splitters are sampled from.
 SPLITTER_CHARS = 64
@@ -118,7 +119,6 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``keep`` is "largest" or "smallest" id.  ``normalised`` is the text that is
     compared; by default the text itself, null as empty.
     """
-    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text_col), F.lit("")) if normalised is None else normalised
     slim = docs.select(F.col(id_col).alias("_id"), body.alias("_text"))
     ranked = _sorted_by_content(slim, F.col("_text"), "_id", keep).select("_id", "_tm_body")
@@ -157,11 +157,10 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", normalised: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
-    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text_col), F.lit("")) if normalised is None else normalised
     ranked = _sorted_by_content(docs, body, id_col, keep)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = materialise(ranked.mapInArrow(_firsts, f"{kind}, _tm_sha binary, _tm_head boolean, _tm_part int"), "firsts")
+    kept = StructType([StructField(f.name, f.dataType) for f in docs.schema]).add("_tm_sha", "binary").add("_tm_head", "boolean").add("_tm_part", "integer")
+    rows = materialise(ranked.mapInArrow(_firsts, kept), "firsts")
     # A run can go on only from one partition to the next, where it is the head: one a partition.
     heads = rows.filter("_tm_head").select(F.col("_tm_sha").alias("_tm_s")).distinct()
     rivals = rows.join(F.broadcast(heads), F.col("_tm_sha") == F.col("_tm_s"), "left_semi").groupBy(F.col("_tm_sha").alias("_tm_s")).agg(F.min("_tm_part").alias("_tm_lead"))
