@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import blocks, plain, utf8
 
 UNKNOWN = "und"
 TRAIN_DOCS = 2000
@@ -36,6 +36,8 @@ GRAMS = (2, 3, 4)
 SWITCH = 8.0
 #: A word's languages are at most so far apart, so that no single word outweighs a switch to and fro.
 WORST = 10.0
+#: Bytes of texts that are scored together, and characters of a piece of a longer text.
+BLOCK_BYTES, PIECE_CHARS = 1 << 20, 1 << 18
 #: A language has a script if so large a share of its letters is in it.
 SCRIPT_SHARE = 0.01
 
@@ -108,9 +110,9 @@ class Words:
         """For each length: bucket at each position, and the positions of each word's first and last + 1."""
         sign, n_all = self.sign, len(self.sign)
         for n in GRAMS:
-            h = np.zeros(n_all - n + 1, np.uint64) + np.uint64(n)
+            h = np.full(max(0, n_all - n + 1), n, np.uint64)
             for k in range(n):
-                h = (h ^ sign[k : n_all - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ sign[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             first = self.begin - 1
             yield (h % np.uint64(BUCKETS)).astype(np.int64), first, np.maximum(first, np.minimum(self.end + 2 - n, len(h)))
@@ -120,6 +122,17 @@ class Words:
         return self.script[self.begin].astype(np.int64) - 1
 
 
+@dataclass
+class ScoredWords:
+    """Words of a block: their text, first and last + 1 character in it, whether a language has their script, and scores."""
+
+    text_of: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    known: np.ndarray
+    score: np.ndarray
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -140,12 +153,22 @@ class Model:
         out -= out.max(1, keepdims=True, initial=-np.inf) if n else 0
         return np.maximum(out, -WORST)
 
-    def paths(self, words: Words) -> np.ndarray:
+    def words(self, texts: list[str]) -> ScoredWords:
+        """The words of texts with their scores; a long text is scored piece by piece, cut between words."""
+        parts: list[ScoredWords] = []
+        for group in _pieces(texts):
+            of, at = (np.array([p[k] for p in group], np.int64) for k in (0, 1))
+            w = Words([p[2] for p in group])
+            known = self.scripts[w.script_of()].any(1) if len(w.begin) else np.zeros(0, bool)
+            shift = at[w.text_of] - w.text_at[w.text_of]
+            parts.append(ScoredWords(of[w.text_of], w.begin + shift, w.end + shift, known, self.word_scores(w)))
+        return ScoredWords(*(np.concatenate(x) for x in zip(*((p.text_of, p.begin, p.end, p.known, p.score) for p in parts))))
+
+    def paths(self, text_of: np.ndarray, score: np.ndarray) -> np.ndarray:
         """The language of each word on its text's best path; texts advance together, word by word."""
-        score = self.word_scores(words)
         if not len(score) or len(self.langs) < 2:
             return np.zeros(len(score), np.int64)
-        first = np.flatnonzero(np.diff(words.text_of, prepend=-1))
+        first = np.flatnonzero(np.diff(text_of, prepend=-1))
         size = np.diff(np.append(first, len(score)))
         order = np.argsort(-size, kind="stable")
         first, size = first[order], size[order]
@@ -174,6 +197,26 @@ class Model:
         return path
 
 
+def _pieces(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """(text, first character, piece) of all texts, in groups of about PIECE_CHARS characters."""
+    group, chars = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            end = at + PIECE_CHARS
+            while end < len(text) and text[end].isalpha():
+                end += 1
+            if group and chars + min(end, len(text)) - at > PIECE_CHARS:
+                yield group
+                group, chars = [], 0
+            group.append((i, at, text[at:end]))
+            chars += len(group[-1][2])
+            if end >= len(text):
+                break
+            at = end
+    yield group
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a partition's buckets by language, and of its scripts (negative buckets)."""
     sums: dict[str, np.ndarray] = {}
@@ -181,8 +224,9 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = batch.column(1).to_pylist()
-        for lang in sorted(set(langs.tolist())):
-            w = Words([texts[i] or "" for i in np.flatnonzero(langs == lang)])
+        groups = [(lang, g) for lang in sorted(set(langs.tolist())) for g in _pieces([texts[i] or "" for i in np.flatnonzero(langs == lang)])]
+        for lang, group in groups:
+            w = Words([piece for _, _, piece in group])
             got = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for bucket, first, last in w.grams():
                 edge = np.zeros(len(bucket) + 1, np.int64)
@@ -202,7 +246,6 @@ def training_rows(docs: DataFrame, id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    small_batches(docs.sparkSession)
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     usable = usable.filter(training_rows(usable, "_id"))
     # One row a language reaches the driver.
@@ -232,28 +275,28 @@ def _labeller(shipped: Broadcast, with_spans: bool):
         model: Model = shipped.value
         n_langs = len(model.langs)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            words = Words(texts)
-            path = model.paths(words)
-            known = model.scripts[words.script_of()].any(1) if len(words.begin) else np.zeros(0, bool)
-            votes = np.zeros((len(texts), max(1, n_langs)))
-            if n_langs:
-                np.add.at(votes, (words.text_of[known], path[known]), words.letters[known])
-            every = np.bincount(words.text_of, words.letters, len(texts)) if len(words.begin) else np.zeros(len(texts))
-            top = votes.argmax(1)
-            share = votes[np.arange(len(texts)), top] / np.maximum(every, 1)
-            pred = [model.langs[k] if n_langs and e else UNKNOWN for k, e in zip(top, every)]
-            columns, names = [batch.column(0), pa.array(pred, pa.string()), pa.array(share)], ["id", "lang_pred", "score"]
-            if with_spans:
-                spans: list[list[dict]] = [[] for _ in texts]
-                if n_langs and len(path):
-                    cut = np.flatnonzero((np.diff(words.text_of, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
-                    for a, b in zip(cut, [*cut[1:] - 1, len(path) - 1]):
-                        t = words.text_of[a]
-                        spans[t].append({"begin": int(words.begin[a] - words.text_at[t]), "end": int(words.end[b] - words.text_at[t]), "lang": model.langs[path[a]]})
-                columns.append(pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-                names.append("spans")
-            yield pa.record_batch(columns, names=names)
+            column = plain(batch.column(1))
+            for first, last in blocks(utf8(column)[1], BLOCK_BYTES):
+                texts = [t or "" for t in column.slice(first, last - first).to_pylist()]
+                words = model.words(texts)
+                path, letters = model.paths(words.text_of, words.score), words.end - words.begin
+                votes = np.zeros((len(texts), max(1, n_langs)))
+                if n_langs:
+                    np.add.at(votes, (words.text_of[words.known], path[words.known]), letters[words.known])
+                every = np.bincount(words.text_of, letters, len(texts)) if len(path) else np.zeros(len(texts))
+                top = votes.argmax(1)
+                share = votes[np.arange(len(texts)), top] / np.maximum(every, 1)
+                pred = [model.langs[k] if n_langs and e else UNKNOWN for k, e in zip(top, every)]
+                columns, names = [batch.column(0).slice(first, last - first), pa.array(pred, pa.string()), pa.array(share)], ["id", "lang_pred", "score"]
+                if with_spans:
+                    spans: list[list[dict]] = [[] for _ in texts]
+                    if n_langs and len(path):
+                        cut = np.flatnonzero((np.diff(words.text_of, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
+                        for a, b in zip(cut, [*cut[1:] - 1, len(path) - 1]):
+                            spans[words.text_of[a]].append({"begin": int(words.begin[a]), "end": int(words.end[b]), "lang": model.langs[path[a]]})
+                    columns.append(pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+                    names.append("spans")
+                yield pa.record_batch(columns, names=names)
 
     return label
 
@@ -261,7 +304,6 @@ def _labeller(shipped: Broadcast, with_spans: bool):
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """One row per document: id, lang_pred, score (share of letters in that language), and spans of characters."""
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, lang_pred string, score double" + (", spans array<struct<begin:int,end:int,lang:string>>" if with_spans else "")
     return docs.select(id_col, text_col).mapInArrow(_labeller(spark.sparkContext.broadcast(model), with_spans), schema).withColumnRenamed("id", id_col)
@@ -271,9 +313,10 @@ def _keeper(shipped: Broadcast, text_at: int, least: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = _labeller(shipped, False)
         for batch in batches:
-            (got,) = label(iter([pa.record_batch([pa.nulls(batch.num_rows), batch.column(text_at)], names=["id", "text"])]))
-            good = np.array([x != UNKNOWN for x in got.column(1).to_pylist()], bool) & (got.column(2).to_numpy() >= least)
-            yield batch.filter(pa.array(good))
+            good = [np.zeros(0, bool)]
+            for got in label(iter([pa.record_batch([pa.nulls(batch.num_rows), batch.column(text_at)], names=["id", "text"])])):
+                good.append(np.array([x != UNKNOWN for x in got.column(1).to_pylist()], bool) & (got.column(2).to_numpy() >= least))
+            yield batch.filter(pa.array(np.concatenate(good)))
 
     return keep
 
@@ -281,5 +324,4 @@ def _keeper(shipped: Broadcast, text_at: int, least: float):
 def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, that have a language with a score of ``least`` or more."""
     spark = docs.sparkSession
-    small_batches(spark)
     return docs.mapInArrow(_keeper(spark.sparkContext.broadcast(model), docs.columns.index(text_col), least), docs.schema)
