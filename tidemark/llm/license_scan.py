@@ -13,8 +13,9 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,39 +174,63 @@ def _blanks(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+#: Stands before the first word of a match; no word holds it.
+MARK = "\x01"
+
+
 def _spans(words: Column, rule: Column) -> Column:
     """Each match of a rule as a struct with its span of words."""
-    pattern = F.concat(F.lit(" (?:"), rule["pattern"], F.lit(")(?= )"))
-    # The text between matches tells how many words stand before each.
-    gaps = lambda found: F.slice(F.split(words, pattern, -1), F.lit(1), F.size(found))
-    pairs = _let(F.regexp_extract_all(words, pattern, F.lit(0)), lambda found: F.zip_with(gaps(found), found, lambda gap, hit: F.struct(_blanks(gap).alias("gap"), _blanks(hit).alias("hit"))))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("a"), (acc["at"] + x["gap"] + x["hit"]).alias("b")))).alias("spans"),
-    )
-    spans = F.aggregate(pairs, nothing, step)["spans"]
-    return F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["base"].alias("base")))
+    pattern = F.concat(F.lit(" ("), rule["pattern"], F.lit(")(?= )"))
+    marked = lambda: F.split(F.regexp_replace(words, pattern, F.lit(f" {MARK}$1")), F.lit(" "), -1)
+    # The first element is the nothing before the first blank, so word 0 is element 1.
+    starts = lambda: F.filter(F.transform(marked(), lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i - 1)), F.isnotnull)
+    nothing = F.array().cast("array<struct<a:int,b:int>>")
+    sized = lambda found: F.zip_with(starts(), F.transform(found, _blanks), lambda a, n: F.struct(a.alias("a"), (a + n).cast("int").alias("b")))
+    spans = _let(F.regexp_extract_all(words, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, sized(found)).otherwise(nothing))
+    # In this order of columns, what holds a match sorts before it.
+    return F.transform(spans, lambda s: F.struct(s["a"].alias("a"), (-s["b"]).alias("minus_b"), (-rule["priority"]).alias("minus_priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base")))
 
 
 def detections(words: Column, made: list[Rule]) -> Column:
     """Matches of all rules whose keyword the text has, before suppression."""
-    keywords = sorted({r.keyword for r in made})
-    present = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(words, k))
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")) for r in made])
+    # Both tables are constants that the optimizer folds; as JSON they are one expression each.
+    keywords = F.from_json(F.lit(json.dumps(sorted({r.keyword for r in made}))), "array<string>")
+    present = F.filter(keywords, lambda k: F.contains(words, k))
+    table = F.from_json(F.lit(json.dumps([asdict(r) for r in made])), "array<struct<label:string,keyword:string,pattern:string,priority:int,confidence:double,base:boolean>>")
     gated = _let(present, lambda p: F.filter(table, lambda r: F.array_contains(p, r["keyword"])))
     return F.flatten(F.transform(gated, lambda r: _spans(words, r)))
 
 
 def unsuppressed(found: Column) -> Column:
-    """Without matches that lie inside a stronger one; base phrases stay."""
+    """Without matches that lie inside a stronger one; base phrases stay.  Sorted by place.
+
+    What holds a match stands before it in sort order, and begins at most as many
+    words before it as the longest match has.  So each match is held against the
+    ``reach`` before it: the least power of four that goes back so far everywhere.
+    """
+    words = lambda d: -d["minus_b"] - d["a"]
+
+    def beaten(d: Column, i: Column, every: Column, reach: Column) -> Column:
+        def holds(k: Column) -> Column:
+            o = F.get(every, i - k)
+            # Of the same span, only what is stronger; of a longer one also what is as strong.
+            same = (o["a"] == d["a"]) & (o["minus_b"] == d["minus_b"])
+            return (o["minus_b"] <= d["minus_b"]) & ((o["minus_priority"] < d["minus_priority"]) | ((o["minus_priority"] == d["minus_priority"]) & ~same))
+
+        return F.when(F.least(reach, i) > 0, F.exists(F.sequence(F.lit(1), F.least(reach, i)), holds)).otherwise(F.lit(False))
+
+    def far_enough(every: Column, longest: Column, reach: Column) -> Column:
+        apart = lambda i: F.get(every, i)["a"] - F.get(every, i - reach)["a"] >= longest
+        return (reach >= F.size(every)) | F.forall(F.sequence(reach, F.greatest(reach, F.size(every) - 1)), apart)
 
-    def beaten(d: Column, every: Column) -> Column:
-        inside = lambda o: (o["a"] <= d["a"]) & (o["b"] >= d["b"])
-        longer = lambda o: (o["b"] - o["a"]) > (d["b"] - d["a"])
-        return F.exists(every, lambda o: inside(o) & ((o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & longer(o))))
+    def kept(every: Column) -> Column:
+        powers = F.array(*[F.lit(4**k) for k in range(2, 15)])
+        # The first that is enough ends the search.
+        least = lambda longest: F.aggregate(powers, F.lit(0), lambda acc, p: F.when(acc > 0, acc).when(far_enough(every, longest, p), p).otherwise(acc))
+        passed = lambda r: F.filter(F.transform(every, lambda d, i: F.when(d["base"] | ~beaten(d, i, every, r), d)), F.isnotnull)
+        return F.when(F.size(every) > 1, _let(_let(F.array_max(F.transform(every, words)), least), passed)).otherwise(every)
 
-    return _let(found, lambda every: F.filter(every, lambda d: d["base"] | ~beaten(d, every)))
+    return _let(F.array_sort(found), kept)
 
 
 def _joined(labels: Column) -> Column:
@@ -221,8 +246,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     # One blank stands before each word and one at the end; without a word there are two.
     n_words = F.when(F.octet_length("_every") <= 2, 0).otherwise(_blanks(F.col("_every")) - 1)
     counted = counted.select("_id", n_words.cast("long").alias("n_words"), F.when(F.col("_gate"), F.col("_every")).alias("_words"))
-    found = counted.withColumn("_all", F.coalesce(F.when(F.col("_words").isNotNull(), detections(F.col("_words"), made)), F.array().cast("array<struct<a:int,b:int,label:string,priority:int,confidence:double,base:boolean>>")))
-    kept = found.withColumn("detections", unsuppressed(F.col("_all"))).withColumn("_base", F.filter("_all", lambda d: d["base"]))
+    found = counted.withColumn("_all", F.coalesce(F.when(F.col("_words").isNotNull(), detections(F.col("_words"), made)), F.array().cast("array<struct<a:int,minus_b:int,minus_priority:int,label:string,confidence:double,base:boolean>>")))
+    shown = lambda d: F.struct(d["a"].alias("a"), (-d["minus_b"]).alias("b"), d["label"].alias("label"), (-d["minus_priority"]).alias("priority"), d["confidence"].alias("confidence"), d["base"].alias("base"))
+    kept = found.withColumn("detections", F.transform(unsuppressed(F.col("_all")), shown)).withColumn("_base", F.filter("_all", lambda d: d["base"]))
     return kept.select(
         F.col("_id").alias(id_col),
         "n_words",
