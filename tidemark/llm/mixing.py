@@ -13,7 +13,7 @@ source, whatever the number of documents.
 
 Defined results: null text has size 0; a null source is a source of its own,
 ordered last; documents of size 0 are never taken; repeated rows are separate
-documents; ties of the shuffle are ordered by id, then by size; an empty table
+documents, of one id ordered by size and text; an empty table
 gives an empty mix; extra columns are carried through.
 """
 
@@ -26,14 +26,12 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, running_total
 
-BLANKS = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    """Number of runs of anything but BLANKS; a null text has none."""
-    line = F.trim(F.regexp_replace(text, BLANKS, " "))
-    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.coalesce(F.when(F.octet_length(line) > 0, blanks + 1), F.lit(0)).cast("long")
+    """Number of matches of WORD; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def fair_targets(sizes: dict[str | None, int], weights: Sequence[float], share: float, max_repeats: int) -> dict[str | None, float]:
@@ -72,12 +70,17 @@ def mix(
     max_repeats: int = 3,
     seed: int = 17,
     size: Column | None = None,
+    row_key: Column | None = None,
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken."""
+    """One row per document: id, size, source_size, target, copies, taken; and row_key, if it is given."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), (word_count(F.col(text_col)) if size is None else size).alias("_size"))
-    order = [F.xxhash64("_id", F.lit(seed)), F.col("_id").asc_nulls_last(), F.col("_size")]
-    dealt = running_total(sized, order, "_size", "_cum", group="_source", name="mix-dealt").select("_row", "_id", "_source", "_size", "_cum")
+    key = F.lit(None) if row_key is None else row_key
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), (word_count(F.col(text_col)) if size is None else size).alias("_size"), F.xxhash64(text_col).alias("_text"), key.alias("_key"))
+    # Sizes are counted once: the ranges below are sampled from the written table.
+    sized = materialise(slim, "mix-sizes")
+    # Rows of one id are ordered by text.
+    order = [F.xxhash64("_id", F.lit(seed)), F.col("_id").asc_nulls_last(), F.col("_size"), F.col("_text")]
+    dealt = running_total(sized, order, "_size", "_cum", group="_source", name="mix-dealt").select("_row", "_id", "_source", "_size", "_key", "_cum")
     dealt = materialise(dealt, "mix-cumulated")
     totals = {r["_source"]: int(r["n"]) for r in dealt.groupBy("_source").agg(F.sum("_size").alias("n")).collect()}
     target = fair_targets(totals, weights, share, max_repeats)
@@ -100,14 +103,23 @@ def mix(
         F.col("_target").alias("target"),
         copies_taken.alias("copies"),
         (copies_taken * F.col("_size")).alias("taken"),
+        *([] if row_key is None else [F.col("_key").alias("row_key")]),
     )
 
 
-def apply_mix(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def mixed_documents(docs: DataFrame, row_key: Column | None = None, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their columns.
 
-    Ids must be unique in ``docs``; documents with the same id share their copies.
+    ``row_key`` tells the rows of ``docs`` apart whatever their ids, the same each
+    time they are read, as file and position of Parquet rows do; without it the
+    rows are written first.  Other arguments are those of :func:`mix`.
     """
-    often = decisions.filter("copies > 0").groupBy(F.col(id_col).alias("_tm_id")).agg(F.max("copies").alias("_tm_copies"))
-    joined = docs.join(often, F.col(id_col).eqNullSafe(F.col("_tm_id")))
-    return joined.withColumn("_tm_pass", F.explode(F.sequence(F.lit(1), F.col("_tm_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if row_key is None:
+        docs = materialise(docs.withColumn("_tm_row", F.monotonically_increasing_id()), "mix-rows")
+        columns, row_key = docs.columns[:-1], F.col("_tm_row")
+    else:
+        columns = docs.columns
+    often = mix(docs, row_key=row_key, **how).filter("copies > 0").select(F.col("row_key").alias("_tm_key"), F.col("copies").alias("_tm_copies"))
+    keyed = docs.withColumn("_tm_of", row_key)
+    joined = keyed.join(often, F.col("_tm_of") == F.col("_tm_key"))
+    return joined.withColumn("_tm_pass", F.explode(F.sequence(F.lit(1), F.col("_tm_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
