@@ -6,7 +6,9 @@ cells, epsilon wide, of the leading ones: the epsilon grid order.  The sequence
 is cut into blocks with bounding boxes; intervals of blocks are joined
 recursively, from long ones down to single blocks, and whatever is provably
 further apart than epsilon is skipped.  Blocks that remain are compared in full
-in double precision.  A block pair returns sums and one label a vector, never its
+in double precision.  A task gets two intervals of ``TASK_BLOCKS`` blocks and all
+pairs of their blocks that remain, so a block is sent once for each interval near
+it rather than for each block.  It returns sums and one label a vector, never
 pairs.
 
 Equal vectors of a label are one node with a multiplicity.  The rotation is
@@ -41,6 +43,8 @@ ORDER_DIMS, BOX_DIMS = 8, 24
 BLOCK = 512
 #: Children of an interval in the recursion.
 FAN_OUT = 8
+#: Blocks of an interval that is sent to a task.
+TASK_BLOCKS = 16
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +145,7 @@ def box_distance2(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Col
 
 
 def block_pairs(boxes: DataFrame, epsilon: float) -> DataFrame:
-    """(a, b), a <= b, of blocks of one label and length that may hold vectors within epsilon.
+    """(block_a, block_b, task), a <= b in sequence, of blocks of one label and length that may hold vectors within epsilon.
 
     ``boxes`` has a row for each block.  Intervals of FAN_OUT**level blocks in
     sequence are joined with each other, close ones are replaced by the pairs of
@@ -173,39 +177,60 @@ def block_pairs(boxes: DataFrame, epsilon: float) -> DataFrame:
     number = level0.select(*key, F.col("seq").cast("long").alias("seq"), "block")
     first = number.select(*key, F.col("seq").alias("a"), F.col("block").alias("block_a"))
     second = number.select(*key, F.col("seq").alias("b"), F.col("block").alias("block_b"))
-    return pairs.join(first, [*key, "a"]).join(second, [*key, "b"]).select("block_a", "block_b")
+    task = F.struct(*key, F.expr(f"a div {TASK_BLOCKS}").alias("a"), F.expr(f"b div {TASK_BLOCKS}").alias("b"))
+    return pairs.withColumn("task", task).join(first, [*key, "a"]).join(second, [*key, "b"]).select("block_a", "block_b", "task")
+
+
+def _linked(a: dict, b: dict, cosine: float) -> pa.RecordBatch | None:
+    """(node, links, root) of the vectors of two blocks, or of one (``a`` is ``b``), that have a link."""
+    hit = a["x"] @ b["x"].T / np.outer(a["norm"], b["norm"]) >= cosine
+    if a is b:
+        np.fill_diagonal(hit, False)
+    i, j = np.nonzero(hit)
+    if not len(i):
+        return None
+    label = [a["nodes"].copy(), b["nodes"].copy()]
+    while True:  # smallest node reachable within this pair of blocks
+        before = label[0].sum(dtype=object) + label[1].sum(dtype=object)
+        np.minimum.at(label[1], j, label[0][i])
+        if a is b:
+            label[0] = label[1] = np.minimum(label[0], label[1])
+        np.minimum.at(label[0], i, label[1][j])
+        if a is b:
+            label[1] = label[0]
+        if label[0].sum(dtype=object) + label[1].sum(dtype=object) == before:
+            break
+    rows = [(a["nodes"], hit @ b["times"], label[0])] + ([(b["nodes"], a["times"] @ hit, label[1])] if a is not b else [])
+    got = [np.concatenate(z) for z in zip(*((n[s > 0], s[s > 0], r[s > 0]) for n, s, r in rows))]
+    return pa.record_batch([pa.array(z.astype(np.int64)) for z in got], names=["node", "links", "root"])
 
 
 def _compare(cosine: float):
+    """Rows (task, block, partners, dim, nodes, times, vecs), sorted by task; the blocks of one task are held at a time."""
+
+    def unpacked(dim: int, nodes, times, vecs) -> dict:
+        x = np.frombuffer(vecs.as_buffer(), np.float64).reshape(-1, dim)
+        # Scaled by the largest component first, so that squares neither overflow nor vanish.
+        x = x / np.abs(x).max(1, keepdims=True)
+        return {"nodes": np.frombuffer(nodes.as_buffer(), np.int64), "times": np.frombuffer(times.as_buffer(), np.int64), "x": x, "norm": np.sqrt((x * x).sum(1))}
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, wanted = None, {}, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for a, b in wanted:
+                got = _linked(held[a], held[b], cosine)
+                if got is not None:
+                    yield got
+
         for batch in batches:
-            for a, b, dim, ids_a, times_a, vecs_a, ids_b, times_b, vecs_b in zip(*(c if i > 2 else c.to_pylist() for i, c in enumerate(batch.columns))):
-                ids = [np.frombuffer(x.as_buffer(), np.int64) for x in (ids_a, ids_b)]
-                times = [np.frombuffer(x.as_buffer(), np.int64) for x in (times_a, times_b)]
-                x, y = (np.frombuffer(v.as_buffer(), np.float64).reshape(-1, dim) for v in (vecs_a, vecs_b))
-                # Scaled by the largest component first, so that squares neither overflow nor vanish.
-                x, y = (v / np.abs(v).max(1, keepdims=True) for v in (x, y))
-                norm = lambda v: np.sqrt((v * v).sum(1))
-                hit = x @ y.T / np.outer(norm(x), norm(y)) >= cosine
-                if a == b:
-                    np.fill_diagonal(hit, False)
-                i, j = np.nonzero(hit)
-                if not len(i):
-                    continue
-                label = [ids[0].copy(), ids[1].copy()]
-                while True:  # smallest node reachable within this pair of blocks
-                    before = label[0].sum(dtype=object) + label[1].sum(dtype=object)
-                    np.minimum.at(label[1], j, label[0][i])
-                    if a == b:
-                        label[0] = label[1] = np.minimum(label[0], label[1])
-                    np.minimum.at(label[0], i, label[1][j])
-                    if a == b:
-                        label[1] = label[0]
-                    if label[0].sum(dtype=object) + label[1].sum(dtype=object) == before:
-                        break
-                rows = [(ids[0], hit @ times[1], label[0])] + ([(ids[1], times[0] @ hit, label[1])] if a != b else [])
-                got = [np.concatenate(z) for z in zip(*((n[s > 0], s[s > 0], r[s > 0]) for n, s, r in rows))]
-                yield pa.record_batch([pa.array(z.astype(np.int64)) for z in got], names=["node", "links", "root"])
+            for row in zip(*(c if k > 3 else c.to_pylist() for k, c in enumerate(batch.columns))):
+                if row[0] != task:
+                    yield from settle()
+                    task, held, wanted = row[0], {}, []
+                held[row[1]] = unpacked(*row[3:])
+                wanted += [(row[1], p) for p in row[2]]
+        yield from settle()
 
     return compare
 
@@ -226,10 +251,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ranged = celled.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).drop("cells")
     blocks = materialise(ranged.mapInArrow(_blocked(turns), f"block bigint, label {kind}, dim int, lo array<double>, hi array<double>, nodes binary, times binary, vecs binary"), "blocks")
     pairs = block_pairs(blocks.select("block", "label", "dim", "lo", "hi"), epsilon)
-    left = blocks.select(F.col("block").alias("block_a"), "dim", F.col("nodes").alias("nodes_a"), F.col("times").alias("times_a"), F.col("vecs").alias("vecs_a"))
-    right = blocks.select(F.col("block").alias("block_b"), F.col("nodes").alias("nodes_b"), F.col("times").alias("times_b"), F.col("vecs").alias("vecs_b"))
-    both = pairs.join(left, "block_a").join(right, "block_b").select("block_a", "block_b", "dim", "nodes_a", "times_a", "vecs_a", "nodes_b", "times_b", "vecs_b")
-    found = materialise(both.mapInArrow(_compare(cosine), "node bigint, links bigint, root bigint"), "found")
+    # What a task needs: each block once, with the blocks that it is compared with.
+    sent = pairs.select("task", F.col("block_a").alias("block"), F.col("block_b").alias("partner")).unionByName(pairs.select("task", F.col("block_b").alias("block"), F.lit(None).cast("long").alias("partner")))
+    sent = sent.groupBy("task", "block").agg(F.collect_list("partner").alias("partners"))
+    both = sent.join(blocks, "block").select("task", "block", "partners", "dim", "nodes", "times", "vecs")
+    ordered = both.repartition("task").sortWithinPartitions("task")
+    found = materialise(ordered.mapInArrow(_compare(cosine), "node bigint, links bigint, root bigint"), "found")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     # The smallest id of a component; numbers that stand for null ids don't count.
