@@ -12,6 +12,8 @@ bucket; the bucket is done when its other nodes are in one class.  So each two o
 a bucket are compared, unless they are in one class by then.  The first leader is
 the node with the most bucket mates, which in a group of edited copies is the
 text that they come from.  Classes are the connected components of verified links.
+A bucket of many nodes is dealt over tasks by salts, to which its leaders are
+sent, so no task gets a whole hot bucket.
 
 Defined results: null text counts as empty; a text without a word is a class with
 its equals only; a null id is in no class (null); of a class the smallest id
@@ -33,8 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import blocks, materialise, mix64, plain, small_batches, utf8
-from .shingles import Weights, fit_weights, shingle_blocks
+from .shared import blocks, materialise, mix64, plain, utf8
+from .shingles import DAMPING, Weights, fit_weights, shingle_blocks
 
 THRESHOLD = 0.8
 #: 12 bands of 3 samples: two texts of similarity 0.8 meet in a bucket with a probability of 0.9998.
@@ -44,6 +46,8 @@ MORE_SAMPLES = 384
 #: Standard deviations by which a pair's shared samples may fall short of the
 #: threshold and the pair is still compared in full: one in 700 falls shorter at the threshold itself, none to speak of above it.
 SLACK = 3.0
+#: Parts in which a bucket's nodes are counted, and nodes of a bucket for each of its salts.
+COUNT_PARTS, SALT_NODES = 1024, 256
 #: Leaders that are drawn in a bucket in each round after the first.
 LEADERS = 256
 #: Bytes of pairs of texts that are compared at a time.
@@ -93,9 +97,9 @@ def band_keys(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tupl
     return texts, np.stack(keys, 1), np.stack(samples, 1)
 
 
-def min_alike(n: int, threshold: float) -> int:
-    """Of n samples, those that a pair must share to be compared in full."""
-    return int(np.floor(n * threshold - SLACK * np.sqrt(n * threshold * (1 - threshold))))
+def min_alike(n: int, threshold: float, slack: float | None) -> int:
+    """Of n samples, those that a pair must share to be compared in full; none, if ``slack`` is None."""
+    return 0 if slack is None else int(np.floor(n * threshold - slack * np.sqrt(n * threshold * (1 - threshold))))
 
 
 def _sampler(shipped: Broadcast):
@@ -166,12 +170,21 @@ def _verifier(shipped: Broadcast, threshold: float):
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, mates, bands, samples) of all buckets with two nodes at least."""
-    members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(members.join(shared.hint("merge"), "bucket"), "members")
+    """(bucket, salt, salts, node, mates, bands, samples) of all buckets with two nodes at least."""
+    part = F.pmod(F.xxhash64("node"), F.lit(COUNT_PARTS))
+    members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("bucket")).withColumn("part", part)
+    # The window is over counts, of which a bucket has COUNT_PARTS at most.
+    counts = members.groupBy("bucket", "part").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(Window.partitionBy("bucket")))
+    members = materialise(members.join(counts.filter("n > 1").drop("c").hint("merge"), ["bucket", "part"]).drop("part"), "members")
     mates = members.groupBy("node").agg(F.sum("n").alias("mates")).join(nodes.select("node", "bands", "samples"), "node")
-    return materialise(members.drop("n").join(mates.hint("merge"), "node").select("bucket", "node", "mates", "bands", "samples"), "members")
+    salted = members.withColumn("salts", F.ceil(F.col("n") / SALT_NODES).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    return materialise(salted.drop("n").join(mates.hint("merge"), "node").select("bucket", "salt", "salts", "node", "mates", "bands", "samples"), "members")
+
+
+def _of_bucket(members: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``members`` joined with rows of buckets, each of which goes to all salts of its bucket."""
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return members.join(spread.hint("merge"), ["bucket", "salt"], how)
 
 
 def _leads(members: DataFrame, turn: int) -> DataFrame:
@@ -181,12 +194,12 @@ def _leads(members: DataFrame, turn: int) -> DataFrame:
     of those that are outside the bucket's largest class.
     """
     if turn == 0:
-        first = members.groupBy("bucket").agg(F.min(F.struct((-F.col("mates")).alias("o"), F.col("node").alias("node"))).alias("x"))
-        return members.join(first.hint("merge"), "bucket").withColumn("lead", F.col("node") == F.col("x.node")).drop("x")
-    classes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    sizes = classes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("n"))
+        first = members.groupBy("bucket").agg(F.min(F.struct((-F.col("mates")).alias("o"), F.col("node").alias("node"))).alias("x"), F.max("salts").alias("salts"))
+        return _of_bucket(members, first).withColumn("lead", F.col("node") == F.col("x.node")).drop("x")
+    classes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("salts").alias("salts"))
+    sizes = classes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("n"), F.max("salts").alias("salts"))
     drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n") - F.col("x.n")) < LEADERS
-    return members.join(sizes.hint("merge"), "bucket").withColumn("lead", (F.col("label") != F.col("x.label")) & drawn).drop("n", "x")
+    return _of_bucket(members, sizes).withColumn("lead", (F.col("label") != F.col("x.label")) & drawn).drop("n", "x")
 
 
 def _pairs(members: DataFrame, least: int) -> DataFrame:
@@ -194,11 +207,12 @@ def _pairs(members: DataFrame, least: int) -> DataFrame:
 
     Two nodes are compared in the first of the buckets that they share, and there only.
     """
-    left, right = members.alias("l"), members.filter("lead").alias("r")
-    alike = F.aggregate(F.zip_with("l.samples", "r.samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    met = F.array_min(F.array_intersect("l.bands", "r.bands")) == F.col("l.bucket")
-    on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.label") != F.col("r.label")) & (~F.col("l.lead") | (F.col("l.node") < F.col("r.node"))) & met & (alike >= least)
-    return left.join(right.hint("merge"), on).select(F.col("l.node").alias("a"), F.col("l.label").alias("label_a"), F.col("r.node").alias("b"), F.col("r.label").alias("label_b"))
+    leaders = members.filter("lead").select("bucket", "salts", *[F.col(c).alias(f"r_{c}") for c in ("node", "label", "bands", "samples")])
+    alike = F.aggregate(F.zip_with("samples", "r_samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    met = F.array_min(F.array_intersect("bands", "r_bands")) == F.col("bucket")
+    on = (F.col("label") != F.col("r_label")) & (~F.col("lead") | (F.col("node") < F.col("r_node"))) & met
+    on = on & (alike >= least) if least > 0 else on
+    return _of_bucket(members, leaders).filter(on).select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("r_node").alias("b"), F.col("r_label").alias("label_b"))
 
 
 def digest(text: Column) -> Column:
@@ -206,16 +220,16 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, slack: float | None, damping: float) -> DataFrame:
     """One row per document: id, digest, class_id and class_digest (id and digest of the row that stands for its class).
 
     Nodes and labels are digests, so that texts are told apart whatever their ids.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    weights = spark.sparkContext.broadcast(fit_weights(slim.select("text")))
-    signed = materialise(slim.mapInArrow(_signer(weights), "id bigint, digest binary, bands array<bigint>, samples array<int>"), "signed")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    weights = spark.sparkContext.broadcast(fit_weights(slim.select("text"), damping=damping))
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = materialise(slim.mapInArrow(_signer(weights), f"id {kind}, digest binary, bands array<bigint>, samples array<int>"), "signed")
     nodes = materialise(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")).withColumnRenamed("digest", "node"), "nodes")
     members = _members(nodes)
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("id").distinct()
@@ -227,7 +241,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         members = materialise(_leads(members, turn), "members")
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        compared = materialise(_pairs(members, min_alike(MORE_SAMPLES if turn else BANDS * ROWS, threshold)), "pairs").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("label_a", "label_b", "text_a", "text_b")
+        compared = materialise(_pairs(members, min_alike(MORE_SAMPLES if turn else BANDS * ROWS, threshold, slack)), "pairs").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("label_a", "label_b", "text_a", "text_b")
         found = materialise(compared.mapInArrow(_verifier(weights, threshold), "a binary, b binary"), "verified")
         # Classes found so far are the nodes of the next components.
         joined = components(found).withColumnRenamed("node", "label")
@@ -235,8 +249,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         labels = materialise(relabel(labels), "labels")
         # A leader is done with its bucket, and so is a bucket whose other nodes are of one class.
         rest = materialise(relabel(members.filter("not lead").drop("lead")), "rest")
-        several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        members = materialise(rest.join(several.hint("merge"), "bucket", "left_semi"), "members")
+        several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("salts").alias("salts")).filter("lo < hi").select("bucket", "salts")
+        members = materialise(_of_bucket(rest, several, "left_semi"), "members")
         if turn == 0:
             unsettled = texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
             more = materialise(unsettled.select("node", "text").mapInArrow(_sampler(weights), "node binary, samples array<int>"), "samples")
@@ -250,19 +264,24 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     return out.select("id", "digest", F.when(named, F.col("first.id")).alias("class_id"), F.when(named, F.col("first.node")).alias("class_digest"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class), kept (its id and text stand for the class)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slack: float | None = SLACK, damping: float = DAMPING) -> DataFrame:
+    """One row per document: id, class_id (the smallest id of its class), kept (its id and text stand for the class).
+
+    ``slack`` None compares in full all pairs that a bucket proposes, whatever
+    their samples; ``damping`` is that of :class:`shingles.Weights`.
+    """
     stands = (F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
-    return _classes(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", F.coalesce(stands, F.lit(True)).alias("kept"))
+    return _classes(docs, id_col, text_col, threshold, slack, damping).select(F.col("id").alias(id_col), "class_id", F.coalesce(stands, F.lit(True)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slack: float | None = SLACK, damping: float = DAMPING) -> DataFrame:
     """One document of each class, with all its columns; rows of null id stay.
 
     Of rows that repeat both the id and the text that stand for a class, the one
     of the smallest hash of the other columns (as JSON) stays.
     """
-    kept = _classes(docs, id_col, text_col, threshold).filter((F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))).select(F.col("id").alias("_tm_id"), F.col("digest").alias("_tm_digest")).distinct()
+    stands = (F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    kept = _classes(docs, id_col, text_col, threshold, slack, damping).filter(stands).select(F.col("id").alias("_tm_id"), F.col("digest").alias("_tm_digest")).distinct()
     marked = docs.withColumn("_tm_text", digest(F.col(text_col)))
     stay = marked.join(kept, (F.col(id_col) == F.col("_tm_id")) & (F.col("_tm_text") == F.col("_tm_digest")), "left_semi")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]

@@ -99,22 +99,24 @@ def _shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1), count
 
 
+#: How much the inverse document frequency counts: 0 not at all, 1 as it is.  A quarter keeps the copies of a text that a
+#: third of all rows hold as similar as those of a rare text.
+DAMPING = 0.25
+
+
 class Weights:
-    """Weight of a shingle: its count in the text times a damped inverse document frequency.
+    """Weight of a shingle: its count in the text times its inverse document frequency, scaled and damped.
 
     With f the share of documents that have it and ``floor`` a share below which
-    all shingles count as equally rare, the factor is 1 - DAMP + DAMP * ln(f) /
-    ln(floor), at most 1.  Damping keeps the copies of a text that a third of all
-    rows hold as similar as those of a rare text.
+    all shingles count as equally rare, the factor is 1 - damping + damping *
+    ln(f) / ln(floor), at most 1.
     """
 
-    DAMP = 0.25
-
-    def __init__(self, hashes: np.ndarray, docs: np.ndarray, n_docs: int, floor: float):
+    def __init__(self, hashes: np.ndarray, docs: np.ndarray, n_docs: int, floor: float, damping: float = DAMPING):
         order = np.argsort(hashes)
         self.hashes = hashes[order].astype(np.uint64)
         f = np.minimum(1.0, docs[order] / max(1, n_docs))
-        self.factor = 1 - self.DAMP + self.DAMP * np.minimum(1.0, np.log(f) / np.log(floor))
+        self.factor = 1 - damping + damping * np.minimum(1.0, np.log(f) / np.log(floor))
 
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = counts.astype(np.float64)
@@ -178,7 +180,7 @@ def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch([pa.array(h.astype(np.int64))], names=["h"])
 
 
-def fit_weights(texts: DataFrame, floor: float = FLOOR) -> Weights:
+def fit_weights(texts: DataFrame, floor: float = FLOOR, damping: float = DAMPING) -> Weights:
     """Document frequencies of all shingles that at least a share ``floor`` of all texts have.
 
     A shingle that frequent is so in one part of the texts at least, however they
@@ -186,7 +188,8 @@ def fit_weights(texts: DataFrame, floor: float = FLOOR) -> Weights:
     all texts.  At most (mean shingles of a text) / floor of them exist.  Up to
     ``MOST_FREQUENT`` candidates are broadcast for the count; beyond, all
     shingles are shuffled and counted, and beyond that many frequent ones the
-    floor is raised until they fit.  ``texts`` has one column.
+    floor is doubled until they fit.  That depends on the mean length of the
+    texts (from 4096 shingles on), not on their number.  ``texts`` has one column.
     """
     spark = texts.sparkSession
     n_docs = texts.count()
@@ -195,7 +198,7 @@ def fit_weights(texts: DataFrame, floor: float = FLOOR) -> Weights:
     candidates = texts.coalesce(parts).mapInArrow(_locally_frequent(floor), "h bigint").distinct()
     got = candidates.limit(MOST_FREQUENT + 1).toPandas()["h"].to_numpy(np.int64)
     if not len(got):
-        return Weights(np.zeros(0, np.uint64), np.zeros(0), n_docs, floor)
+        return Weights(np.zeros(0, np.uint64), np.zeros(0), n_docs, floor, damping)
     if len(got) <= MOST_FREQUENT:
         wanted = spark.sparkContext.broadcast(np.sort(got.astype(np.uint64)))
         counts = texts.mapInArrow(_count(wanted), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -204,5 +207,5 @@ def fit_weights(texts: DataFrame, floor: float = FLOOR) -> Weights:
     while True:
         frequent = counts.filter(F.col("n") >= floor * n_docs).limit(MOST_FREQUENT + 1).toPandas()
         if len(frequent) <= MOST_FREQUENT:
-            return Weights(frequent["h"].to_numpy(np.int64).astype(np.uint64), frequent["n"].to_numpy(np.float64), n_docs, floor)
+            return Weights(frequent["h"].to_numpy(np.int64).astype(np.uint64), frequent["n"].to_numpy(np.float64), n_docs, floor, damping)
         floor *= 2
