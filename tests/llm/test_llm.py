@@ -84,14 +84,27 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, WORD_JSON).count() == 0
 
 
+WORD_TOK, TOK = Tokenizer.from_file(WORD_JSON), Tokenizer.from_file(BYTE_JSON)
+# Turkish capitals, combining marks, contractions, added tokens, odd blanks, Hangul in parts.
+ODD = st.lists(st.sampled_from([*"absXİıéÉ\u0301\u0307.,!?' \n\xa0\u3000日本Σς12ŉǅ\u1100\u1161", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "İ.", "Aİ!", "the"]), max_size=120).map("".join)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab c'sD.1\n é<|endoftext|>", min_size=0, max_size=200), st.integers(8, 40), st.integers(1, 12))
+@given(st.lists(ODD, max_size=6))
+def test_words_of_any_text(texts):
+    ids, sizes = ENCODER.encode([t.encode() for t in texts])
+    assert np.split(ids, np.cumsum(sizes))[: len(texts)] == [] or [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(WORD_JSON, texts)
+
+
+ENCODER = token_store.WordEncoder(WORD_TOK)
+
+
+@settings(max_examples=150, deadline=None)
+@given(ODD, st.integers(8, 40), st.integers(1, 12))
 def test_splices(text, chunk, overlap):
-    for path in (WORD_JSON, BYTE_JSON):
-        tok = Tokenizer.from_file(path)
+    for tok in (WORD_TOK, TOK):
         encode = lambda t: tok.encode(t, add_special_tokens=False)  # noqa: B023, E731
-        if "<|" not in text:
-            assert token_counts.encode_long(text, encode, chunk, overlap).tolist() == encode(text).ids
+        assert token_counts.encode_long(text, encode, chunk, overlap, margin=15).tolist() == encode(text).ids
 
 
 def test_bpe(docs, empty):
@@ -105,7 +118,6 @@ def test_bpe(docs, empty):
 
 
 CODER = bpe.Coder(open(BYTE_JSON, encoding="utf-8").read())
-TOK = Tokenizer.from_file(BYTE_JSON)
 
 
 @settings(max_examples=200, deadline=None)
@@ -116,6 +128,59 @@ def test_bpe_of_any_text(text):
     assert ids == ",".join(map(str, want)) and n == len(want) and decoded.decode("utf-8", "replace") == TOK.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["ab" * 100_000, "日本語" * 60_000, "a1B2+" * 50_000, "".join(random.Random(1).choices("abcdefghij", k=200_000))], ids=["period", "han", "mixed", "random"])
+def test_long_texts_without_blanks(text):
+    """Linear time: the whole test takes seconds."""
+    n, ids, _ = CODER.documents([text])[0]
+    assert ids == ",".join(map(str, TOK.encode(text, add_special_tokens=False).ids))
+    assert not any(len(w) > bpe.LONG_WORD for w in CODER.known)
+    encode = lambda t: WORD_TOK.encode(t, add_special_tokens=False)
+    assert token_counts.encode_long(text, encode, margin=15).tolist() == encode(text).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", "the", "ing", "=", "日", "e9"]), min_size=1, max_size=600).map("".join))
+def test_mended_words(text):
+    ids = CODER.greedy(text.encode())
+    pair = lambda a, b: CODER._fits(a * (CODER.base + 1) + b + 1)
+    assert CODER.mended(ids, [i for i, (a, b) in enumerate(zip(ids, ids[1:])) if not pair(a, b)]) == CODER._merged_by_heap(text.encode()) == TOK.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.binary(max_size=40), st.binary(max_size=40))
+def test_crc_of_joined_strings(a, b):
+    assert token_store.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_documents_go_on_in_the_next_file(monkeypatch):
+    """Files of 20 ids in groups of 5: pieces of documents are joined by their CRCs."""
+    monkeypatch.setattr(token_store, "BLOCK", 5)
+    monkeypatch.setattr(token_store, "GROUP", 1)
+    monkeypatch.setattr(token_store, "FILE_IDS", 20)
+    rnd = np.random.default_rng(3)
+    docs = [rnd.integers(0, 60_000, n).astype(np.uint32) for n in (3, 1, 50, 7, 20, 19, 1, 1)]
+    files = token_store.Files(4)
+    rows = [r for a in range(0, 8, 3) for r in files.add(np.arange(a, min(8, a + 3)), np.zeros(3, bool)[: 8 - a], np.concatenate(docs[a : a + 3]), np.array([len(d) for d in docs[a : a + 3]]))]
+    rows += files.close()
+    parts: dict[int, list] = {}
+    held: list[bytes] = []
+    for row in rows:
+        held.append(row)
+        if row.endswith(token_store.MAGIC) and len(row) > len(token_store.MAGIC):
+            part, number, pieces, ids = token_store.read_file(memoryview(b"".join(r + b"\n" for r in held)))
+            assert part == 4 and len(held) <= 6
+            for i, (n, x) in enumerate(zip(pieces["number"], ids)):
+                parts.setdefault(int(n), []).append((int(pieces["skip"][i]), x, int(pieces["total"][i])))
+            held = []
+    assert not held and sorted(parts) == list(range(8))
+    for n, got in parts.items():
+        assert np.concatenate([x for _, x, _ in sorted(got, key=lambda g: g[0])]).tolist() == docs[n].tolist() and got[0][2] == len(docs[n])
+        crc = 0
+        for _, x, _ in sorted(got, key=lambda g: g[0]):
+            crc = token_store.crc_joined(crc, zlib.crc32(x.astype("<u4").tobytes()), 4 * len(x))
+        assert crc == zlib.crc32(docs[n].astype("<u4").tobytes())
+
+
 def test_token_files(docs, empty):
     rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in docs.collect()), key=lambda r: r[:2])
     ids = [x + [1] for x in library(WORD_JSON, [r[2] for r in rows])]
@@ -143,7 +208,46 @@ def test_mixing(docs, empty):
     key = lambda rows: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rows)
     assert key(got) == key(again)
     assert mixing.mix(empty).count() == 0
-    assert mixing.apply_mix(docs, mixing.mix(docs)).columns == docs.columns
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_mix_is_the_queue_by_brute_force(spark):
+    """Finish times in shuffled order, all copies in one queue, cut at the budget."""
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.randint(0, 9), rnd.choice(["a", "a", "a", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    shuffled = [r[0] for r in df.orderBy(mixing.F.xxhash64("doc_id", mixing.F.lit(17)), "doc_id").collect()]
+    size = {i: len(t.split()) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    total = Counter()
+    for i in size:
+        total[source[i]] += size[i]
+    target = mixing.fair_targets(dict(total), (5, 2, 1), 1.0, 3)
+    queue, through = [], Counter()
+    for turn in range(3):
+        for i in shuffled:
+            through[source[i]] += size[i]
+            if turn <= target[source[i]] // total[source[i]] and size[i]:
+                queue.append((through[source[i]] / target[source[i]], str(source[i]), i, turn))
+    want, left = Counter(), sum(total.values())
+    for _, _, i, _ in sorted(queue):
+        left -= size[i]
+        if left < 0:
+            break
+        want[i] += size[i]
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+    # Documents of equal finish times at the cut may change places.
+    assert sum(got[i] != want[i] for i in got) <= 2
+
+
+def test_unlike_documents_under_one_id_have_copies_of_their_own(spark):
+    rows = [(1, f"word{i} " * (1 + i % 5), "a" if i % 4 else "b", {"k": i}) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra struct<k:bigint>")
+    often = Counter(r["extra"]["k"] for r in mixing.mixed_documents(df).collect())
+    taken = Counter({k: 0 for k in range(80)})
+    for r in mixing.mix(df, row_key=mixing.F.col("extra.k")).collect():
+        taken[r["row_key"]] = r["copies"]
+    assert +often == +taken and len(set(taken.values())) > 1
 
 
 def test_targets_come_near(spark):
@@ -168,6 +272,25 @@ def test_warc(spark):
     n = len(big)
     assert got == Counter([(3, n, sha(big), "response", None), (3, n, sha(big), "revisit", 3), (5, n, sha(big), "revisit", 3), (9, 5, sha("short"), "response", None), (8, 5, sha("short"), "response", None), (7, 0, sha(""), "response", None), (1, 120, sha("ü" * 60), "response", None)])
     assert warc.round_trip(df.limit(0)).count() == 0
+    named = df.filter("page_id in (5, 9)").withColumn("page_id", warc.F.concat(warc.F.lit("a:/<%>"), "page_id"))
+    assert sorted(r["page_id"] for r in warc.round_trip(named).collect()) == ["a:/<%>5", "a:/<%>9"]
+
+
+def test_archives_are_members_and_end_at_a_size(spark, tmp_path):
+    import gzip
+
+    big = [(i, "u", f"{i} " + random.Random(i).randbytes(2000).hex()) for i in range(40)]
+    df = spark.createDataFrame(big, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/w", file_bytes=10_000)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 5 and all(f.stat().st_size < 20_000 for f in files)
+    for f in files:
+        raw = f.read_bytes()
+        # The whole unpacks as one stream of records, and each record from its own member.
+        records = [m for m in warc.members(memoryview(raw)) if m != warc.END.encode()]
+        assert gzip.decompress(raw) == b"".join(m if m.endswith(b"\r\n\r\n") else m + b"\r\n\r\n" for m in records)
+        assert all(m.startswith(b"WARC/1.1\r\n") for m in records)
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == 40
 
 
 def test_licenses(docs, empty):
@@ -186,6 +309,37 @@ def test_weaker_rules_are_suppressed(spark):
     assert got[1]["labels"] == "gpl-3" and got[2]["n_base"] == 2 and got[2]["labels"] == "mit"
 
 
+def test_licenses_by_brute_force(spark):
+    """All columns against loops over words and pairs of matches, on texts made of rules' words."""
+    rnd = random.Random(11)
+    pool = ["released under the mit license", "SPDX-License-Identifier: Apache-2.0", "the GNU General Public License, version 2", "licensed under the terms of the cc by nc 4.0 license", "all rights reserved", "apache license version 2", "new bsd license", "license is", "the", "é", "mit", "under", "Permission is hereby granted, free of charge, to any person obtaining a copy"]
+    texts = [" ".join(rnd.choices(pool, k=rnd.randint(0, 60))) for _ in range(25)]
+    made = license_scan.rules()
+    for r, text in zip(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect(), texts):
+        words = re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m.group().lower(), text))
+        line = " " + " ".join(words) + " "
+        found = []
+        for rule in made:
+            if f"{rule.keyword}" in line:
+                for m in re.finditer(f" (?:{rule.pattern})(?= )", line):
+                    a = line[: m.start()].count(" ")
+                    found.append((a, a + m.group().count(" "), rule))
+        def inside(d, o):
+            return o[0] <= d[0] and o[1] >= d[1] and (o[2].priority > d[2].priority or (o[2].priority == d[2].priority and o[1] - o[0] > d[1] - d[0]))
+        kept = [d for d in found if d[2].base or not any(inside(d, o) for o in found)]
+        base = [d for d in found if d[2].base]
+        assert r["n_words"] == len(words) and r["n_base"] == len(base)
+        assert sorted((d["a"], d["b"], d["label"]) for d in r["detections"]) == sorted((a, b, x.label) for a, b, x in kept)
+        assert r["labels"] == ",".join(sorted({x.label for _, _, x in kept})) and r["base_labels"] == ",".join(sorted({x.label for _, _, x in base}))
+        assert (r["first_word"], r["last_word"]) == ((min(a for a, _, _ in base), max(a for a, _, _ in base)) if base else (None, None))
+
+
+def test_many_license_phrases(spark):
+    df = spark.range(1).selectExpr("1 as doc_id", "repeat('released under the mit license ', 20000) as text")
+    r = license_scan.scan(df).collect()[0]
+    assert (r["n_words"], r["n_base"], r["last_word"], r["labels"], len(r["detections"])) == (100_000, 20_000, 99_997, "mit", 40_000)
+
+
 def alternatives(parsed):
     """Texts that a pattern matches: each branch, option and letter of it at least once."""
     out = [""]
@@ -244,6 +398,68 @@ def test_language(spark, docs, empty):
     assert language_id.keep_identified(docs, model, 0.0).columns == docs.columns
 
 
+def test_best_paths_by_brute_force():
+    from itertools import product
+
+    rnd = np.random.default_rng(8)
+    model = language_id.Model(["a", "b", "c"], np.zeros((1, 3), np.float32), np.ones((1, 3), bool))
+    sizes = [1, 5, 3, 6]
+    score = -rnd.random((sum(sizes), 3)) * 12
+    text_of = np.repeat(np.arange(4), sizes)
+    path = model.paths(text_of, score)
+    worth = lambda s, p: sum(s[i, k] for i, k in enumerate(p)) - language_id.SWITCH * sum(x != y for x, y in zip(p, p[1:]))
+    for t in range(4):
+        s = score[text_of == t]
+        assert worth(s, path[text_of == t]) == pytest.approx(max(worth(s, p) for p in product(range(3), repeat=len(s))))
+
+
+def test_long_text_in_pieces(monkeypatch, spark):
+    """A text that is cut into pieces has the words, scores and spans of the whole."""
+    rows = [(i, ("the and which over thing " if i % 2 else "le été quelque pour où ") * 8, "en" if i % 2 else "fr") for i in range(60)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.words([""]).begin) == 0
+    texts = ["", "the thing  " * 40 + "quelque été " * 50, "x", "1 2"]
+    whole = model.words(texts)
+    monkeypatch.setattr(language_id, "PIECE_CHARS", 37)
+    cut = model.words(texts)
+    for k in ("text_of", "begin", "end", "known", "score"):
+        assert np.allclose(getattr(whole, k), getattr(cut, k))
+
+
+def all_pairs(texts, weights, threshold):
+    """Classes by comparing every two texts in full."""
+    a, b = np.triu_indices(len(texts), 1)
+    sim = near_dedup.weighted_jaccard(pa.array([texts[i] for i in a]), pa.array([texts[i] for i in b]), weights)
+    root = np.arange(len(texts))
+    links = [(i, j) for i, j, s in zip(a, b, sim) if s >= threshold or texts[i] == texts[j]]
+    for _ in range(len(texts)):
+        was = root.copy()
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+        if (was == root).all():
+            return root, len(links)
+
+
+@pytest.mark.parametrize("damping,slack", [(0.25, 3.0), (0.0, None), (1.0, None)])
+def test_classes_by_brute_force(spark, damping, slack):
+    """Edited copies at all similarities, one hot group, repeated rows; ids are strings."""
+    rnd = random.Random(21)
+    hot, texts = prose(150, rnd), []
+    for i in range(240):
+        words = (hot if i % 3 == 0 else prose(rnd.randint(1, 120), rnd) if i % 3 == 1 or not texts else rnd.choice(texts)).split()
+        for _ in range(rnd.randint(0, 4)):
+            words[rnd.randrange(len(words))] = f"new{rnd.randint(0, 9)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(f"d{i:04}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    weights = shingles.fit_weights(df.select("text"), damping=damping)
+    root, links = all_pairs(texts, weights, 0.8)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df, damping=damping, slack=slack).collect()}
+    same = sum(got[f"d{i:04}"] == f"d{r:04}" for i, r in enumerate(root))
+    assert links > 100 and same >= 0.99 * len(texts)
+    # Nothing is joined that brute force leaves apart.
+    assert all(root[int(c[1:])] == root[int(i[1:])] for i, c in got.items())
+
+
 def test_near_duplicates(docs, empty):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert got[6] == got[7] == got[8] == 6 and got[10] == got[11] == 10 and got[None] is None
@@ -328,9 +544,20 @@ def test_components(spark):
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
-    docs.drop("_id", "kept", "label").write.parquet(f"{tmp_path}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {"doc_id", "n_tokens", "ids"} <= set(out[0].asDict()) and len(corpus_pipeline.STAGES) == 5
     want = library(BYTE_JSON, TEXTS)
     assert all(r["ids"] == want[r["doc_id"]] for r in out if r["doc_id"] is not None)
     assert not {0, 1, 2, 7, 8} & {r["doc_id"] for r in out}
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(i, i, "a b", "en", "s") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, _id bigint, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, "").columns == df.columns, name

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.identify(docs, language_id.fit(docs))
-    return out.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3)
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
