@@ -41,7 +41,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents by source weight, repeated where a source's target is above its size."""
-    return mixing.apply_mix(docs, mixing.mix(docs, weights=WEIGHTS))
+    # Rows are told apart by file and position, as unlike documents may have one id.
+    place = F.struct("_metadata.file_path", "_metadata.row_index") if docs.inputFiles() else None
+    return mixing.mixed_documents(docs, place, weights=WEIGHTS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
