@@ -21,8 +21,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         seen = both.join(labels.hint("merge"), both["y"] == labels["node"]).groupBy(F.col("x").alias("n2")).agg(F.min("root").alias("near"))
         nearer = labels.join(seen, F.col("node") == F.col("n2")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        nearer = materialise(nearer, "labels")
-        of_root = nearer.select(F.col("node").alias("n3"), F.col("root").alias("far"))
+        # The label of the label, as it was before this round: no further than it is now, and at hand.
+        of_root = labels.select(F.col("node").alias("n3"), F.col("root").alias("far"))
         jumped = nearer.join(of_root.hint("merge"), F.col("root") == F.col("n3"), "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
         labels = materialise(jumped, "labels")
         if labels.filter("root <> was").isEmpty():

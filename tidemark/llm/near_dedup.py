@@ -42,14 +42,18 @@ THRESHOLD = 0.8
 #: 12 bands of 3 samples: two texts of similarity 0.8 meet in a bucket with a probability of 0.9998.
 BANDS, ROWS = 12, 3
 #: Samples of a node that its first leader did not settle.
-MORE_SAMPLES = 384
+MORE_SAMPLES = 385
+#: Of these, those that are compared first; two standard deviations more of slack make up for that.
+FIRST_SAMPLES = 98
+#: Samples are compared by their lowest byte, this many in one long; unequal samples count as equal once in 256 times.
+IN_LONG = 7
 #: Standard deviations by which a pair's shared samples may fall short of the
 #: threshold and the pair is still compared in full: one in 700 falls shorter at the threshold itself, none to speak of above it.
 SLACK = 3.0
 #: Parts in which a bucket's nodes are counted, and nodes of a bucket for each of its salts.
 COUNT_PARTS, SALT_NODES = 1024, 256
 #: Leaders that are drawn in a bucket in each round after the first.
-LEADERS = 256
+LEADERS = 1024
 #: Bytes of pairs of texts that are compared at a time.
 VERIFY_BYTES = 2 << 20
 
@@ -83,23 +87,40 @@ def weighted_samples(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray,
 
 
 def band_keys(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts that have shingles, and BANDS keys and BANDS * ROWS samples (32 bits) for each."""
+    """The texts that have shingles, and BANDS keys and BANDS * ROWS packed samples for each."""
     if not len(text):
-        return text, np.zeros((0, BANDS), np.int64), np.zeros((0, BANDS * ROWS), np.int32)
+        return text, np.zeros((0, BANDS), np.int64), np.zeros((0, 1), np.int64)
     keys, samples = [], []
     for band in range(BANDS):
         key = np.full(1, band + 1, np.uint64)
         for row in range(ROWS):
             texts, sample = weighted_samples(text, hashes, weights, band * ROWS + row)
-            samples.append((sample >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            samples.append((sample >> np.uint64(32)).astype(np.int64))
             key = mix64(sample + key * np.uint64(0xD6E8FEB86659FD93))
         keys.append(key.astype(np.int64))
-    return texts, np.stack(keys, 1), np.stack(samples, 1)
+    return texts, np.stack(keys, 1), packed(np.stack(samples, 1))
 
 
-def min_alike(n: int, threshold: float, slack: float | None) -> int:
-    """Of n samples, those that a pair must share to be compared in full; none, if ``slack`` is None."""
-    return 0 if slack is None else int(np.floor(n * threshold - slack * np.sqrt(n * threshold * (1 - threshold))))
+def min_alike(n: int, threshold: float, slack: float) -> int:
+    """Of n samples, those that a pair must share to be compared in full."""
+    return int(np.floor(n * threshold - slack * np.sqrt(n * threshold * (1 - threshold))))
+
+
+def packed(samples: np.ndarray) -> np.ndarray:
+    """The lowest bytes of each row's samples, IN_LONG in a long, filled up with zeros."""
+    n, k = samples.shape
+    low = np.zeros((n, -(-k // IN_LONG) * IN_LONG), np.int64)
+    low[:, :k] = samples & 0xFF
+    return low.reshape(n, -1, IN_LONG) @ (np.int64(1) << np.arange(IN_LONG, dtype=np.int64) * 8)
+
+
+def equal_bytes(x: Column, y: Column) -> Column:
+    """How many of the IN_LONG low bytes of two longs are equal."""
+    low = F.lit(sum(0x7F << 8 * i for i in range(IN_LONG)))
+    z = x.bitwiseXOR(y)
+    # A byte of z is zero if neither it nor its low seven bits, with 127 added, reach its top bit.
+    seen = (z.bitwiseAND(low) + low).bitwiseOR(z).bitwiseOR(low)
+    return F.lit(8 * IN_LONG) - F.bit_count(seen)
 
 
 def _sampler(shipped: Broadcast):
@@ -111,10 +132,9 @@ def _sampler(shipped: Broadcast):
                 w = weights.of(h, count)
                 got = [weighted_samples(text, h, w, BANDS * ROWS + k) for k in range(MORE_SAMPLES)] if len(text) else []
                 if got:
-                    every = np.stack([(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, x in got], 1)
-                    for i, row in zip(got[0][0], every):
+                    for i, row in zip(got[0][0], packed(np.stack([(x >> np.uint64(32)).astype(np.int64) for _, x in got], 1))):
                         rows[a + i] = row
-            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["node", "samples"])
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "samples"])
 
     return sample
 
@@ -130,7 +150,7 @@ def _signer(shipped: Broadcast):
                 for i, key, sample in zip(*band_keys(text, h, weights.of(h, count))):
                     keys[a + i], samples[a + i] = key, sample
             digests = [hashlib.md5(x.as_buffer(), usedforsecurity=False).digest() for x in body]
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int32()))], names=["id", "digest", "bands", "samples"])
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.list_(pa.int64()))], names=["id", "digest", "bands", "samples"])
 
     return sign
 
@@ -199,20 +219,26 @@ def _leads(members: DataFrame, turn: int) -> DataFrame:
     classes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("salts").alias("salts"))
     sizes = classes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("n"), F.max("salts").alias("salts"))
     drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n") - F.col("x.n")) < LEADERS
-    return _of_bucket(members, sizes).withColumn("lead", (F.col("label") != F.col("x.label")) & drawn).drop("n", "x")
+    # A bucket is done when its nodes are of one class.
+    return _of_bucket(members, sizes.filter("n > x.n")).withColumn("lead", (F.col("label") != F.col("x.label")) & drawn).drop("n", "x")
 
 
-def _pairs(members: DataFrame, least: int) -> DataFrame:
+def _pairs(members: DataFrame, samples: int, threshold: float, slack: float | None) -> DataFrame:
     """(a, label_a, b, label_b): each node with the leaders of its buckets, unless samples rule it out.
 
     Two nodes are compared in the first of the buckets that they share, and there only.
     """
     leaders = members.filter("lead").select("bucket", "salts", *[F.col(c).alias(f"r_{c}") for c in ("node", "label", "bands", "samples")])
-    alike = F.aggregate(F.zip_with("samples", "r_samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    alike = lambda x, y: F.aggregate(F.zip_with(x, y, equal_bytes), F.lit(0), lambda acc, n: acc + n)
+    first = lambda c: F.slice(c, 1, FIRST_SAMPLES // IN_LONG)
     met = F.array_min(F.array_intersect("bands", "r_bands")) == F.col("bucket")
-    on = (F.col("label") != F.col("r_label")) & (~F.col("lead") | (F.col("node") < F.col("r_node"))) & met
-    on = on & (alike >= least) if least > 0 else on
-    return _of_bucket(members, leaders).filter(on).select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("r_node").alias("b"), F.col("r_label").alias("label_b"))
+    on = (F.col("label") != F.col("r_label")) & (~F.col("lead") | (F.col("node") < F.col("r_node")))
+    if slack is not None:
+        if samples > FIRST_SAMPLES:
+            on &= alike(first("samples"), first("r_samples")) >= min_alike(FIRST_SAMPLES, threshold, slack + 2)
+        # The bytes that fill up the last long are always equal.
+        on &= alike("samples", "r_samples") >= min_alike(samples, threshold, slack) + -samples % IN_LONG
+    return _of_bucket(members, leaders).filter(on & met).select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("r_node").alias("b"), F.col("r_label").alias("label_b"))
 
 
 def digest(text: Column) -> Column:
@@ -229,33 +255,37 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, slac
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(fit_weights(slim.select("text"), damping=damping))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = materialise(slim.mapInArrow(_signer(weights), f"id {kind}, digest binary, bands array<bigint>, samples array<int>"), "signed")
+    signed = materialise(slim.mapInArrow(_signer(weights), f"id {kind}, digest binary, bands array<bigint>, samples array<bigint>"), "signed")
     nodes = materialise(signed.filter("id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")).withColumnRenamed("digest", "node"), "nodes")
     members = _members(nodes)
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("id").distinct()
     texts = slim.join(wanted, "id", "left_semi").select(digest(F.col("text")).alias("node"), "text").groupBy("node").agg(F.max("text").alias("text"))
     texts = materialise(texts, "member-texts")
-    labels = materialise(members.select("node", F.col("node").alias("label")).distinct(), "labels")
+    labels = members.select("node", F.col("node").alias("label")).distinct()
     members, turn = members.withColumn("label", F.col("node")), 0
-    while not members.isEmpty():
-        members = materialise(_leads(members, turn), "members")
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        compared = materialise(_pairs(members, min_alike(MORE_SAMPLES if turn else BANDS * ROWS, threshold, slack)), "pairs").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("label_a", "label_b", "text_a", "text_b")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    while True:
+        members = _leads(members, turn)
+        if turn == 1:
+            members = materialise(members.drop("samples"), "members")
+            unsettled = texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+            more = unsettled.select("node", "text").mapInArrow(_sampler(weights), "node binary, samples array<bigint>")
+            members = members.join(materialise(more, "samples").hint("merge"), "node")
+        members = materialise(members, "members")
+        if members.isEmpty():
+            break
+        pairs = materialise(_pairs(members, MORE_SAMPLES if turn else BANDS * ROWS, threshold, slack), "pairs")
+        compared = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("label_a", "label_b", "text_a", "text_b")
         found = materialise(compared.mapInArrow(_verifier(weights, threshold), "a binary, b binary"), "verified")
         # Classes found so far are the nodes of the next components.
         joined = components(found).withColumnRenamed("node", "label")
-        relabel = lambda df: df.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
-        labels = materialise(relabel(labels), "labels")
-        # A leader is done with its bucket, and so is a bucket whose other nodes are of one class.
-        rest = materialise(relabel(members.filter("not lead").drop("lead")), "rest")
-        several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("salts").alias("salts")).filter("lo < hi").select("bucket", "salts")
-        members = materialise(_of_bucket(rest, several, "left_semi"), "members")
-        if turn == 0:
-            unsettled = texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
-            more = materialise(unsettled.select("node", "text").mapInArrow(_sampler(weights), "node binary, samples array<int>"), "samples")
-            members = materialise(members.drop("samples").join(more.hint("merge"), "node"), "members")
+        relabel = lambda df, joined=joined: df.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        labels = relabel(labels)
+        # A leader is done with its bucket.
+        members = materialise(relabel(members.filter("not lead").drop("lead")), "rest")
         turn += 1
+    labels = materialise(labels, "labels")
     first = labels.join(nodes.select("node", "id").hint("merge"), "node").groupBy("label").agg(F.min(F.struct("id", "node")).alias("first"))
     of_node = labels.join(first.hint("merge"), "label").select("node", "first")
     of_text = nodes.select("node", "id").join(of_node, "node", "left").select(F.col("node").alias("digest"), F.coalesce("first", F.struct("id", "node")).alias("first"))
