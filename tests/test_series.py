@@ -3,10 +3,10 @@ import random
 
 import pytest
 
-from tidemark import queries
-from tidemark.operators import binning, ingest, series
+from tidemark.operators import binning, ingest, limits, series
 from tidemark.plans.grid import MS, Grid
-from tidemark.sources import encode
+from tidemark.plans.layers import CacheUsage
+from tidemark.sources import encode, store
 from tidemark.sources.tables import test_series as generated
 
 A = [(102, 2.0), (104, 2.4), (111, 1.0), (112, 1.2), (113, 1.4)]
@@ -94,12 +94,59 @@ def test_expand_and_empty(spark):
     assert binning.bin_events(frame(spark, []), grid).count() == 0
 
 
-def test_edge_check_returns_every_kind_of_fault(spark, monkeypatch):
+def test_edge_check_returns_every_kind_of_fault(spark):
     rows = [(0, 2, 1, 1.0, 3.0, 3.0 + 1e-12, 2.0), (2, 4, 1, 1.0, 3.0, 3.1, 2.0), (6, 8, 1, 1.0, 3.0, 2.0, 2.0), (8, 10, 0, 2.0, 3.0, 2.0, 2.0), (10, 12, 0, 2.0, 2.0, 2.0, 2.0)]
     faulty = spark.createDataFrame([("a", *r) for r in rows], "series string, ts1 bigint, ts2 bigint, cnt bigint, min double, max double, avg double, lst double")
-    monkeypatch.setattr(queries, "_ordered", lambda *_: None)
-    monkeypatch.setattr(binning, "bin_events", lambda *_, **__: faulty)
-    assert sorted(r["ts1"] for r in queries.bins_edge_check(spark, "").collect()) == [2, 6, 8]
+    assert sorted(r["ts1"] for r in binning.edge_faults(faulty).collect()) == [2, 6, 8]
+
+
+def test_errors(spark):
+    with pytest.raises(Exception, match="not strictly ordered"):
+        series.in_order(frame(spark, [(1, 1), (1, 2)])).collect()
+    assert series.in_order(frame(spark, [(1, 1), (2, 2)])).count() == 2
+    wide = spark.createDataFrame([("a", 0, 20, 1, 1.0, 1.0, 1.0, 1.0, True)], "series string, ts1 bigint, ts2 bigint, cnt bigint, min double, max double, avg double, lst double, fnl boolean")
+    with pytest.raises(Exception, match="over the edge"):
+        binning.rebin(wide, 10).collect()
+
+
+def test_limits_and_schemes():
+    assert limits.event_limits() == limits.Limits(80_000, 8 << 20)
+    assert limits.event_limits(10**9, 1, large=True) == limits.Limits(4_000_000, 1)
+    assert limits.bin_limit() == 2500
+    assert limits.scheme("unweightedScalar") == ("fullValue", False) and limits.scheme("timeWeightedScalar") == ("timeWeightedScalar", True)
+    with pytest.raises(ValueError):
+        limits.scheme("other")
+    assert ingest.quiet_times({"short": "monitor", "medium": 5, "long": None}) == {"short": 0, "medium": 5_000_000_000}
+
+
+def test_neighbours_in_chunks_equal_one_window(spark):
+    rnd = random.Random(6)
+    df = frame(spark, [(t, rnd.random()) for t in rnd.sample(range(500), 60)])
+    want = dict(zip(sorted(r["ts_ns"] for r in df.collect()), [None] + [r["value"] for r in df.orderBy("ts_ns").collect()]))
+    got = series.with_previous(df, ["ts_ns"], "value", "was", 7 * MS)
+    assert {r["ts_ns"]: r["was"] for r in got.collect()} == want
+    numbered = df.withColumn("event_id", df["ts_ns"])
+    assert sorted(r["ts_ns"] for r in series.collect_limit(numbered, 17, chunk_ns=7 * MS).collect()) == sorted(want)[:17]
+
+
+def test_archives_are_pruned(spark, tmp_path):
+    day = 86_400_000
+    df = frame(spark, [(d * day + 5, d) for d in range(6)]).unionByName(frame(spark, [(3 * day, 9)], "b"))
+    store.write_events(df, f"file://{tmp_path}/e")
+    got = store.read_events(spark, f"file://{tmp_path}/e", 2 * day * MS, 4 * day * MS, ["a"])
+    assert sorted(r["value"] for r in got.collect()) == [2.0, 3.0]
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "bucket" in plan
+
+
+def test_layers_fill_holes_and_rebin(spark):
+    df = frame(spark, [(t, t % 7) for t in range(0, 400, 3)])
+    fine, coarse = Grid(10 * MS, 0, 40), Grid(100 * MS, 0, 4)
+    held = binning.bin_events(df, fine).filter("ts1 % 30000000 <> 0")
+    want = binning.bin_events(df, coarse).select("ts1", "cnt", "min", "max", "lst").orderBy("ts1").collect()
+    got = binning.layered(df, {10 * MS: held}, coarse, CacheUsage.READ).select("ts1", "cnt", "min", "max", "lst").orderBy("ts1").collect()
+    assert got == want
+    assert binning.layered(df, {}, coarse, allow_events=False).count() == 0
 
 
 def test_encoders():

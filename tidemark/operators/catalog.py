@@ -84,6 +84,42 @@ def register(wanted: DataFrame, known: DataFrame, keys: list[str], kind: list[st
     return got.withColumn("state", state).drop("_n")
 
 
+#: Salts that are tried for a new id; about one in nine ids is too small.
+SALTS = 32
+LEAST_ID = 10**18
+
+
+def new_id(*parts: Column) -> Column:
+    """The first id of a channel's identity that is large enough."""
+    tried = F.array(*[series_id(*parts, salt=k) for k in range(SALTS)])
+    return F.filter(tried, lambda i: i >= F.lit(LEAST_ID))[0].cast("bigint")
+
+
+def register_ids(wanted: DataFrame, known: DataFrame, keys: list[str], kind: list[str]) -> DataFrame:
+    """:func:`register` with ``series``: the known id of the channel and kind, else a new one; ``tscs`` are all its times in order.
+
+    ``known`` has keys, kind, series and ts; ``wanted`` has keys, kind and ts.  A
+    channel that is current gets no new time, others get that of ``wanted``.
+    """
+    held = known.groupBy(*keys, *kind).agg(F.min("series").alias("_series"), F.array_sort(F.collect_set("ts")).alias("_tscs"))
+    got = register(wanted, known, keys, kind).join(held, [*keys, *kind], "left")
+    times = F.when(F.col("state") == "current", F.col("_tscs")).otherwise(F.array_sort(F.array_distinct(F.concat(F.coalesce("_tscs", F.array().cast("array<bigint>")), F.array("ts")))))
+    return got.withColumn("series", F.coalesce("_series", new_id(*[F.col(c) for c in (*keys, *kind)]))).withColumn("tscs", times).drop("_series", "_tscs", "ts")
+
+
+def config_of(configs: DataFrame, series: str, ids: list[int]) -> DataFrame:
+    """Configs of series ids."""
+    return configs.filter(F.col(series).isin(ids))
+
+
+def active_in(written: DataFrame, series: str, msp: str, partitions: list[int], **kinds: str) -> DataFrame:
+    """Series that were written in some partitions, of given kinds only."""
+    cond = F.col(msp).isin(partitions)
+    for column, kind in kinds.items():
+        cond &= F.col(column) == kind
+    return written.filter(cond).select(series).distinct()
+
+
 def maintain(known: DataFrame, scanned: DataFrame, keys: list[str], config: list[str]) -> DataFrame:
     """The catalog after a scan: keys, config, ``state`` ("new", "changed", "same" or "missing") and ``was``, the former config of changed rows.
 

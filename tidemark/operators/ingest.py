@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.grid import DAY, HOUR, LAYERS, MS
+from ..plans.grid import DAY, HOUR, LAYERS, MS, SEC
 
 #: Polled channels may come that much early.
 POLL_SLACK = 800 * MS
@@ -31,6 +32,11 @@ def accepts(ts: int, last: int | None, quiet: int, polled: bool) -> bool:
     return ts + early >= last + quiet and ts >= last + LEAST_STEP
 
 
+def quiet_times(policy: Mapping[str, int | str | None]) -> dict[str, int]:
+    """Least time (ns) between events of each tier that archives: "monitor" takes all, a number is seconds, None takes none."""
+    return {tier: 0 if how == "monitor" else int(how) * SEC for tier, how in policy.items() if how is not None}
+
+
 def thin(events: DataFrame, quiet: int, polled: bool = False) -> DataFrame:
     """Events that a rate limit lets through, in order of time within each series.
 
@@ -39,17 +45,27 @@ def thin(events: DataFrame, quiet: int, polled: bool = False) -> DataFrame:
     in memory.  A null value or repeated time is treated as any other event.
     """
 
+    gap = max(quiet - (POLL_SLACK if polled else 0), LEAST_STEP)
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         series, last = None, None
         for batch in batches:
+            ts = batch["ts_ns"].to_numpy()
+            names = batch["series"].to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(ts)]
             keep = []
-            for s, ts in zip(batch["series"], batch["ts_ns"]):
-                if s != series:
-                    series, last = s, None
-                ok = accepts(ts, last, quiet, polled)
-                last = ts if ok else last
-                keep.append(ok)
-            yield batch[keep]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if names[a] != series:
+                    series, last = names[a], None
+                # From one accepted event straight to the next: times are sorted.
+                at = a if last is None else a + int(np.searchsorted(ts[a:b], last + gap))
+                while at < b:
+                    keep.append(at)
+                    last = int(ts[at])
+                    at = at + 1 + int(np.searchsorted(ts[at + 1 : b], last + gap))
+            yield batch.iloc[keep]
 
     ordered = events.repartition("series").sortWithinPartitions("series", "ts_ns", "event_id")
     return ordered.mapInPandas(walk, events.schema)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.projection import array_pick, to_number
-from .operators import binning, catalog, ingest, series, usage
+from .operators import binning, catalog, ingest, limits, series, usage
 from .plans.grid import DAY, HOUR, LAYERS, MIN, SEC, Grid, by_count, by_width
-from .plans.layers import day_sources
+from .plans.layers import CacheUsage, day_sources
+from .sources import store
 from .sources.encode import download_frame, with_offsets
+from .sources.scratch import scratch
 from .sources.tables import events, test_series
 
 # The events table's month.
@@ -46,24 +48,25 @@ ROWS = "series, ts_ns, value, event_id"
 
 @query(f"{EV} SELECT {ROWS} FROM ev WHERE ts_ns >= {MID} AND ts_ns < {LATE}")
 def events_range(spark, d):
-    return series.in_range(events(spark, d), MID, LATE)
+    return series.in_range(events(spark, d, beg=MID, end=LATE), MID, LATE)
 
 
 @query(f"{EV}, b AS (SELECT series, max(ts_ns) AS m FROM ev WHERE ts_ns < {MID} GROUP BY 1) SELECT {ROWS} FROM ev JOIN b USING (series) WHERE ts_ns < {LATE} AND ts_ns >= m")
 def events_one_before(spark, d):
-    return series.with_one_before(events(spark, d), MID, LATE)
+    return series.with_one_before(events(spark, d, end=LATE), MID, LATE)
 
 
 @query(f"{EV}, b AS (SELECT min(ts_ns) AS m FROM ev WHERE ts_ns >= {MID}) SELECT {ROWS} FROM ev, b WHERE ts_ns > m AND ts_ns < {LATE}")
 def events_beg_excl(spark, d):
-    ev = events(spark, d)
-    first = ev.filter(F.col("ts_ns") >= MID).agg(F.min("ts_ns")).first()[0]
-    return series.in_range(ev, first if first is not None else MID, LATE, beg_exclusive=True)
+    ev = events(spark, d, beg=MID)
+    # One row: the time of the first event, which the open range leaves out.
+    first = ev.agg(F.min("ts_ns").alias("_first"))
+    return series.in_range(ev, MID, LATE).join(F.broadcast(first), F.col("ts_ns") > F.col("_first")).drop("_first")
 
 
 @query(f"{EV} SELECT series, max(ts_ns) AS ts_ns, arg_max(value, ts_ns) AS value, arg_max(event_id, ts_ns) AS event_id FROM ev WHERE ts_ns < {MID} GROUP BY 1")
 def events_last_before(spark, d):
-    return series.last_before(events(spark, d), MID)
+    return series.last_before(events(spark, d, end=MID), MID)
 
 
 @query(f"""{EV}, u AS (SELECT *, 0 AS src FROM ev WHERE ts_ns < {LATE} UNION ALL SELECT series, ts_ns, value + 1, event_id, user_id, 1 FROM ev WHERE ts_ns >= {MID}),
@@ -76,15 +79,20 @@ def events_merge_dedup(spark, d):
     return series.merge_dedup(a.unionByName(b), "src", "event_id")
 
 
-@query(f"""{EV}, m AS (SELECT *, max(ts_ns) OVER (PARTITION BY series ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ev)
+def _by_value(ev: DataFrame) -> DataFrame:
+    """As if events had arrived in order of value: not in order of time."""
+    return ev.withColumn("arrival", F.struct("value", "event_id"))
+
+
+@query(f"""{EV}, m AS (SELECT *, max(ts_ns) OVER (PARTITION BY series ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ev)
     SELECT {ROWS} FROM m WHERE m IS NULL OR ts_ns > m""")
 def events_strictly_later(spark, d):
-    return series.strictly_later(events(spark, d), "event_id")
+    return series.strictly_later(_by_value(events(spark, d)), "arrival").drop("arrival")
 
 
-@query(f"{EV}, m AS (SELECT *, lag(ts_ns) OVER (PARTITION BY series ORDER BY event_id) AS prev_ts_ns FROM ev) SELECT {ROWS}, prev_ts_ns FROM m WHERE ts_ns < prev_ts_ns")
+@query(f"{EV}, m AS (SELECT *, lag(ts_ns) OVER (PARTITION BY series ORDER BY value, event_id) AS prev_ts_ns FROM ev) SELECT {ROWS}, prev_ts_ns FROM m WHERE ts_ns < prev_ts_ns")
 def events_monotonic_violations(spark, d):
-    return series.order_violations(events(spark, d), "event_id")
+    return series.order_violations(_by_value(events(spark, d)), "arrival").drop("arrival")
 
 
 @query(f"{EV}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts_ns, event_id) AS n FROM ev) SELECT {ROWS} FROM n WHERE n <= 100")
@@ -226,9 +234,70 @@ def bins_expand(spark, d):
     return binning.expand(_bins(spark, d, SIX, zero=False), EXPANDED)
 
 
-@query("SELECT 'x' AS series, CAST(0 AS BIGINT) AS ts1 WHERE false")
+@query(f"""WITH b AS (SELECT series, ts1, ts2, lst, min, max, CASE WHEN ts1 // {HOUR} % 13 = 0 THEN 0 ELSE cnt END AS cnt, avg + CASE WHEN ts1 // {HOUR} % 11 = 0 THEN 1000 ELSE 0 END AS avg FROM ({bins_sql(HOURLY)}) WHERE ts1 // {HOUR} % 5 >= 2),
+    p AS (SELECT *, lag(ts2) OVER (PARTITION BY series ORDER BY ts1) AS prev FROM b)
+    SELECT series, ts1 FROM p WHERE prev <> ts1 OR avg < min - 1e-9 OR avg > max + 1e-9 OR (cnt = 0 AND (min <> lst OR max <> lst))""")
 def bins_edge_check(spark, d):
-    return binning.edge_faults(binning.bin_events(_ordered(spark, d), HOURLY, scale=100)).select("series", "ts1")
+    hour = F.expr(f"ts1 div {HOUR}")
+    bins = _bins(spark, d, HOURLY).filter(hour % 5 >= 2)
+    faulty = bins.withColumn("cnt", F.when(hour % 13 == 0, 0).otherwise(F.col("cnt"))).withColumn("avg", F.col("avg") + F.when(hour % 11 == 0, 1000).otherwise(0))
+    return binning.edge_faults(faulty).select("series", "ts1")
+
+
+@query(f"""WITH b AS (SELECT * FROM ({bins_sql(HOURLY)}) WHERE ts1 // {HOUR} % 7 >= 3 AND cnt > 0),
+    l AS (SELECT *, ts1 // {DAY} AS bin, lag(lst) OVER (PARTITION BY series ORDER BY ts1) AS before, min(ts1) OVER (PARTITION BY series, ts1 // {DAY}) AS first FROM b),
+    s AS (SELECT *, CASE WHEN ts1 = first AND ts1 > bin * {DAY} THEN before END AS seed FROM l)
+    SELECT series, bin * {DAY} AS ts1, (bin + 1) * {DAY} AS ts2, CAST(sum(cnt) AS BIGINT) AS cnt, least(min(min), min(seed)) AS min, greatest(max(max), max(seed)) AS max,
+    round(sum(avg * (ts2 - ts1)) / sum(ts2 - ts1), 4) AS avg, arg_max(lst, ts1) AS lst, true AS fnl FROM s GROUP BY series, bin""")
+def rebin_with_holes(spark, d):
+    fine = _bins(spark, d, HOURLY, zero=False).filter(F.expr(f"ts1 div {HOUR}") % 7 >= 3)
+    return binning.rebin(fine, DAY).withColumn("avg", F.round("avg", 4))
+
+
+@query(ORACLES["rebin_1h_to_1d"])
+def layered_bins(spark, d):
+    """Days from the hourly layer, whose holes are filled from events."""
+    ev = _ordered(spark, d)
+    hourly = _round(binning.bin_events(ev, HOURLY, scale=100), "avg").filter(f"(ts1 div {HOUR}) % 5 >= 2")
+    return binning.layered(ev, {HOUR: hourly}, DAILY, CacheUsage.READ, scale=100).filter("cnt > 0").withColumn("avg", F.round("avg", 4))
+
+
+@query(f"SELECT * FROM ({bins_sql(TWENTY)}) WHERE (ts1 - {TWENTY.beg}) // {TWENTY.width} < {limits.bin_limit()}")
+def binned_served(spark, d):
+    """A request without a cache: the grid by count, bins from events, the limit of bins."""
+    bins = _round(binning.layered(_ordered(spark, d), {}, TWENTY, scale=100), "avg")
+    return bins.filter((F.col("ts1") - TWENTY.beg) / TWENTY.width < limits.bin_limit())
+
+
+@query(f"SELECT * FROM ({bins_sql(HOURLY)}) WHERE ts1 >= {MID} AND ts1 < {LATE}")
+def bins_store_scan(spark, d):
+    path = scratch(spark, "bins")
+    store.write_bins(_bins(spark, d, HOURLY), path, "Hour1")
+    return store.read_bins(spark, path, "Hour1", MID, LATE)
+
+
+@query(f"{EV} SELECT {ROWS} FROM ev WHERE ts_ns >= {MID} AND ts_ns < {LATE} AND series IN ('click', 'purchase')")
+def events_store_scan(spark, d):
+    path = scratch(spark, "events")
+    store.write_events(events(spark, d), path)
+    return store.read_events(spark, path, MID, LATE, ["click", "purchase"]).select("series", "ts_ns", "value", "event_id")
+
+
+@query(f"""{EV}, u AS (SELECT *, 0 AS tier FROM ev WHERE event_id % 5 = 0 AND ts_ns >= {MID - DAY} UNION ALL SELECT series, ts_ns, value + 1, event_id, user_id, 1 FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT series, ts_ns, value + 2, event_id, user_id, 2 FROM ev WHERE event_id % 3 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY series, ts_ns ORDER BY tier, event_id) AS n FROM u), m AS (SELECT * FROM r WHERE n = 1 AND ts_ns < {LATE}),
+    b AS (SELECT series, max(ts_ns) AS last FROM m WHERE ts_ns < {MID} GROUP BY 1)
+    SELECT {ROWS} FROM m LEFT JOIN b USING (series) WHERE ts_ns >= {MID} OR ts_ns = last""")
+def events_merged_read(spark, d):
+    ev = events(spark, d, end=LATE)
+    tiers = [ev.filter(F.col("event_id") % 5 == 0).filter(F.col("ts_ns") >= MID - DAY), ev.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1), ev.filter("event_id % 3 = 0").withColumn("value", F.col("value") + 2)]
+    return series.merged_read(tiers, MID, LATE, "event_id")
+
+
+@query(f"{EV}, c AS (SELECT series, count(*) AS n FROM ev WHERE ts_ns >= {MID} AND ts_ns < {LATE} GROUP BY 1) SELECT series, least(n, 100) AS events, n <= 100 AS range_final FROM c")
+def events_response_flags(spark, d):
+    ev = series.in_range(events(spark, d, beg=MID, end=LATE), MID, LATE)
+    most = limits.event_limits(events=100)
+    return limits.summary(ev, series.collect_limit(ev, most.events, most.bytes))
 
 
 ROLLED = [10 * MIN, HOUR, DAY]
@@ -291,7 +360,20 @@ def rate_limit_thinning(spark, d):
     return ingest.thin(events(spark, d), HOUR).select("series", "event_id", "ts_ns")
 
 
-@query()
+def _tier(column: str, quiet: int) -> str:
+    return f"(t.{column} IS NULL OR e.ts_ns >= t.{column} + {max(quiet, 1_000_000)})"
+
+
+_NEW = "(t.ts_ns IS NULL OR (e.ts_ns > t.ts_ns AND e.value <> t.value))"
+_TAKES = {"s": f"({_NEW} AND {_tier('s', 0)})", "m": f"({_NEW} AND {_tier('m', 10 * MIN)})", "l": f"({_NEW} AND {_tier('l', HOUR)})"}
+_ANY = " OR ".join(_TAKES.values())
+
+
+@query(f"""WITH RECURSIVE ev AS (SELECT event_type AS series, epoch_us(ts) * 1000 AS ts_ns, CAST(round(value * 100) AS BIGINT) AS value, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+    t AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS ts_ns, CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS m, CAST(NULL AS BIGINT) AS l, false AS in_s, false AS in_m, false AS in_l FROM ev
+      UNION ALL SELECT e.series, e.n, e.event_id, CASE WHEN {_ANY} THEN e.ts_ns ELSE t.ts_ns END, CASE WHEN {_ANY} THEN e.value ELSE t.value END,
+        {", ".join(f"CASE WHEN {c} THEN e.ts_ns ELSE t.{k} END" for k, c in _TAKES.items())}, {", ".join(_TAKES.values())} FROM t JOIN ev e ON e.series = t.series AND e.n = t.n + 1)
+    {" UNION ALL ".join(f"SELECT series, ts_ns, value, event_id, '{name}' AS tier FROM t WHERE in_{name[0]}" for name in ("short", "medium", "long"))}""")
 def tier_writer(spark, d):
     return ingest.write_tiers(events(spark, d), {"short": 0, "medium": 10 * MIN, "long": HOUR})
 
@@ -444,3 +526,61 @@ def status_code_map(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", usage.public_status(F.col("event_id") % 13).alias("status"))
 
 
+@query(f"""{EV}, s AS (SELECT series, ts_ns, event_id, CAST(event_id % 38 AS INTEGER) AS kind FROM ev), b AS (SELECT series, max(ts_ns) AS last FROM s WHERE ts_ns < {MID} GROUP BY 1)
+    SELECT s.series, ts_ns, event_id, kind, CASE kind {" ".join(f"WHEN {k} THEN '{v}'" for k, v in usage.STATUS.items())} END AS name, CASE kind WHEN 1 THEN 'Connect' ELSE 'Disconnect' END AS public
+    FROM s LEFT JOIN b USING (series) WHERE ts_ns < {LATE} AND (ts_ns >= {MID} OR ts_ns = last)""")
+def status_series(spark, d):
+    status = events(spark, d, end=LATE).select("series", "ts_ns", "event_id", (F.col("event_id") % 38).cast("int").alias("kind"))
+    return usage.status_events(status, MID, LATE)
+
+
+@query(f"{EV} SELECT event_id, series, min(event_id) OVER (PARTITION BY series) // 10000 * 10000 AS pulse_anchor, event_id - min(event_id) OVER (PARTITION BY series) // 10000 * 10000 AS pulse_off FROM ev")
+def pulse_anchor_columns(spark, d):
+    return usage.pulse_offsets(events(spark, d), "event_id").select("event_id", "series", "pulse_anchor", "pulse_off")
+
+
+@query(f"{EV} SELECT event_id, ts_ns // {SEC} AS sec, ts_ns % {SEC} AS ns, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS datetime FROM ev")
+def pulse_times(spark, d):
+    return events(spark, d).select("event_id", usage.pulse_time(F.col("ts_ns")).alias("t")).select("event_id", "t.*")
+
+
+_ID = " || chr(31) || ".join(["CAST(o_custkey AS VARCHAR)", "o_orderstatus"])
+
+
+@query(f"""WITH o AS (SELECT o_custkey, o_orderstatus, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 10000000 + o_orderkey AS ts, o_custkey * 10 + ascii(o_orderstatus) AS series FROM orders WHERE o_orderstatus <> 'P'),
+    k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY ts DESC) AS n FROM o),
+    h AS (SELECT o_custkey, o_orderstatus, min(n) AS n, CAST(min(series) AS BIGINT) AS series, list_sort(list(DISTINCT ts)) AS tscs FROM k GROUP BY 1, 2),
+    w AS (SELECT c_custkey AS o_custkey, unnest(['O', 'P']) AS o_orderstatus FROM customer),
+    i AS (SELECT *, list_filter([CAST(CAST('0x' || substr(md5({_ID} || chr(31) || CAST(x AS VARCHAR)), 1, 16) AS UBIGINT) % 9223372036854775807 AS BIGINT) FOR x IN range({catalog.SALTS})], lambda y: y >= {catalog.LEAST_ID})[1] AS fresh FROM w)
+    SELECT i.o_custkey, i.o_orderstatus, CASE WHEN h.n IS NULL THEN 'created' WHEN h.n = 1 THEN 'current' ELSE 'updated' END AS state, coalesce(h.series, fresh) AS series,
+    CAST(CASE WHEN h.n = 1 THEN len(tscs) ELSE coalesce(len(tscs), 0) + 1 END AS INTEGER) AS times, CASE WHEN h.n = 1 THEN tscs[-1] ELSE 999999999999 END AS newest
+    FROM i LEFT JOIN h USING (o_custkey, o_orderstatus)""")
+def register_series_ids(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderstatus <> 'P'")
+    ts = F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 10_000_000 + F.col("o_orderkey")
+    known = o.select("o_custkey", "o_orderstatus", ts.alias("ts"), (F.col("o_custkey") * 10 + F.ascii("o_orderstatus")).cast("long").alias("series"))
+    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.array(F.lit("O"), F.lit("P"))).alias("o_orderstatus"), F.lit(999_999_999_999).alias("ts"))
+    out = catalog.register_ids(wanted, known, ["o_custkey"], ["o_orderstatus"])
+    return out.select("o_custkey", "o_orderstatus", "state", "series", F.size("tscs").alias("times"), F.element_at("tscs", -1).alias("newest"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (1, 2, 3, 7)")
+def config_by_id(spark, d):
+    return catalog.config_of(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", [1, 2, 3, 7])
+
+
+@query(f"SELECT DISTINCT user_id FROM events WHERE epoch_us(ts) * 1000 // {DAY} IN ({BEG // DAY}, {BEG // DAY + 3}) AND event_type = 'click'")
+def active_by_partition(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", F.expr(f"unix_micros(cast(ts as timestamp)) * 1000 div {DAY}").alias("msp"))
+    return catalog.active_in(ev, "user_id", "msp", [BEG // DAY, BEG // DAY + 3], event_type="click")
+
+
+@query("SELECT 'i32-v01' AS series, i * 500000000 AS ts_ns, CAST(i AS INTEGER) AS value FROM range(200, 320) t(i)")
+def generated_series_v01(spark, d):
+    return test_series(spark, "i32-v01", 100 * SEC, 160 * SEC)
+
+
+@query("""SELECT 'f64-wave-v00' AS series, i * 100000000 AS ts_ns, round(list_sum([(cos(-pi() + 2 * pi() / 20 * j) + 1.1) * (sin(i) + 2) FOR j IN range(21)]), 6) AS total FROM range(1000, 1600) t(i)""")
+def generated_wave(spark, d):
+    wave = test_series(spark, "f64-wave-v00", 100 * SEC, 160 * SEC)
+    return wave.select("series", "ts_ns", F.round(to_number(F.col("value"), wave.schema["value"].dataType), 6).alias("total"))

@@ -12,9 +12,16 @@ def nanos(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) * 1000
 
 
-def events(spark: SparkSession, sf_dir: str, series: str = "event_type") -> DataFrame:
-    """(series, ts_ns, value, event_id) of the events table; values in hundredths, so that sums are exact."""
+def events(spark: SparkSession, sf_dir: str, series: str = "event_type", beg: int | None = None, end: int | None = None) -> DataFrame:
+    """(series, ts_ns, value, event_id) of the events table; values in hundredths, so that sums are exact.
+
+    ``beg`` and ``end`` (ns) bound the stored time, so that the scan skips what is outside.
+    """
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stored = df.schema["ts"].dataType
+    at = lambda ns: F.timestamp_micros(F.lit(ns // 1000)).cast(stored)
+    df = df if beg is None else df.filter(F.col("ts") >= at(beg))
+    df = df if end is None else df.filter(F.col("ts") < at(-(-end // 1000) * 1000))
     return df.select(F.col(series).alias("series"), nanos(F.col("ts")).alias("ts_ns"), F.round(F.col("value") * 100).cast("long").alias("value"), "event_id")
 
 
