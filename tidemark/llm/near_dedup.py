@@ -52,8 +52,9 @@ IN_LONG = 7
 SLACK = 3.0
 #: Parts in which a bucket's nodes are counted, and nodes of a bucket for each of its salts.
 COUNT_PARTS, SALT_NODES = 1024, 256
-#: Leaders that are drawn in a bucket in each round after the first.
-LEADERS = 1024
+#: Leaders that are drawn in a bucket in the second round, and how much more they are in each further one: the first few
+#: settle most nodes, so that few pairs are left for the many.
+LEADERS, MORE_LEADERS = 32, 4
 #: Bytes of pairs of texts that are compared at a time.
 VERIFY_BYTES = 2 << 20
 
@@ -210,7 +211,7 @@ def _of_bucket(members: DataFrame, table: DataFrame, how: str = "inner") -> Data
 def _leads(members: DataFrame, turn: int) -> DataFrame:
     """``members`` with ``lead``.
 
-    At first the node with the most bucket mates, later about LEADERS drawn nodes
+    At first the node with the most bucket mates, later drawn nodes, more each time,
     of those that are outside the bucket's largest class.
     """
     if turn == 0:
@@ -218,7 +219,7 @@ def _leads(members: DataFrame, turn: int) -> DataFrame:
         return _of_bucket(members, first).withColumn("lead", F.col("node") == F.col("x.node")).drop("x")
     classes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("salts").alias("salts"))
     sizes = classes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("n"), F.max("salts").alias("salts"))
-    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n") - F.col("x.n")) < LEADERS
+    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n") - F.col("x.n")) < LEADERS * MORE_LEADERS ** (turn - 1)
     # A bucket is done when its nodes are of one class.
     return _of_bucket(members, sizes.filter("n > x.n")).withColumn("lead", (F.col("label") != F.col("x.label")) & drawn).drop("n", "x")
 
