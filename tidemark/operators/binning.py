@@ -13,6 +13,7 @@ after the one shuffle that orders events.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,11 +153,9 @@ def edge_faults(bins: DataFrame) -> DataFrame:
 
 def roll_up(events: DataFrame, widths: list[int], beg: int, end: int, scale: int = 1) -> DataFrame:
     """Bins of the first width from events, each further width from the one before, which is written; column ``width`` added."""
-    level = bin_events(events, Grid(widths[0], beg // widths[0], -(-end // widths[0])), scale=scale)
-    out = level.withColumn("width", F.lit(widths[0]))
+    levels = [bin_events(events, Grid(widths[0], beg // widths[0], -(-end // widths[0])), scale=scale)]
     for width in widths[1:]:
-        level = held(level, "level")
-        out = level.withColumn("width", F.lit(widths[0])) if width == widths[1] else out
-        level = rebin(level, width, zero_count=True)
-        out = out.unionByName(level.withColumn("width", F.lit(width)))
-    return out.filter("cnt > 0 and fnl")
+        levels[-1] = held(levels[-1], "level")
+        levels.append(rebin(levels[-1], width, zero_count=True))
+    every = [level.withColumn("width", F.lit(width)) for level, width in zip(levels, widths)]
+    return reduce(DataFrame.unionByName, every).filter("cnt > 0 and fnl")
