@@ -54,7 +54,7 @@ SLACK = 3.0
 COUNT_PARTS, SALT_NODES = 1024, 256
 #: Leaders that are drawn in a bucket in the second round, and how much more they are in each further one: the first few
 #: settle most nodes, so that few pairs are left for the many.
-LEADERS, MORE_LEADERS = 32, 4
+LEADERS, MORE_LEADERS = 128, 16
 #: Bytes of pairs of texts that are compared at a time.
 VERIFY_BYTES = 2 << 20
 
