@@ -231,12 +231,13 @@ def _pairs(members: DataFrame, samples: int, threshold: float, slack: float | No
     """
     leaders = members.filter("lead").select("bucket", "salts", *[F.col(c).alias(f"r_{c}") for c in ("node", "label", "bands", "samples")])
     alike = lambda x, y: F.aggregate(F.zip_with(x, y, equal_bytes), F.lit(0), lambda acc, n: acc + n)
-    first = lambda c: F.slice(c, 1, FIRST_SAMPLES // IN_LONG)
+    # Nearly all pairs end here, so this is written out: functions over arrays are not compiled.
+    first = sum((equal_bytes(F.col("samples")[i], F.col("r_samples")[i]) for i in range(FIRST_SAMPLES // IN_LONG)), F.lit(0))
     met = F.array_min(F.array_intersect("bands", "r_bands")) == F.col("bucket")
     on = (F.col("label") != F.col("r_label")) & (~F.col("lead") | (F.col("node") < F.col("r_node")))
     if slack is not None:
         if samples > FIRST_SAMPLES:
-            on &= alike(first("samples"), first("r_samples")) >= min_alike(FIRST_SAMPLES, threshold, slack + 2)
+            on &= first >= min_alike(FIRST_SAMPLES, threshold, slack + 2)
         # The bytes that fill up the last long are always equal.
         on &= alike("samples", "r_samples") >= min_alike(samples, threshold, slack) + -samples % IN_LONG
     return _of_bucket(members, leaders).filter(on & met).select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("r_node").alias("b"), F.col("r_label").alias("label_b"))
