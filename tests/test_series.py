@@ -2,7 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions.projection import array_bins
 from tidemark.operators import binning, ingest, limits, series
 from tidemark.plans.grid import MS, Grid
 from tidemark.plans.layers import CacheUsage
@@ -78,6 +80,21 @@ def test_thinning(spark):
     rows = [("a", t * MS, 1, t) for t in (0, 1, 4, 10, 11, 19, 21)] + [("b", 5 * MS, 1, 99)]
     df = spark.createDataFrame(rows, "series string, ts_ns bigint, value bigint, event_id bigint")
     assert sorted((r["series"], r["ts_ns"] // MS) for r in ingest.thin(df, 10 * MS).collect()) == [("a", 0), ("a", 10), ("a", 21), ("b", 5)]
+    forced = ingest.thin(df, 10 * MS, forced=F.col("event_id").isin(4, 11))
+    assert forced.columns == df.columns
+    # The rate counts from forced events on.
+    assert sorted((r["series"], r["ts_ns"] // MS) for r in forced.collect()) == [("a", 0), ("a", 4), ("a", 11), ("a", 21), ("b", 5)]
+    unknown = ingest.thin(df, 10 * MS, forced=F.lit(None).cast("boolean"))
+    assert unknown.count() == 4 and ingest.thin(df.limit(0), 10 * MS, forced=F.lit(True)).count() == 0
+
+
+def test_array_bins(spark):
+    df = spark.createDataFrame([(1, [1, 2, None, 4, 5]), (2, [7]), (3, []), (4, None), (5, [None, None])], "id int, w array<int>")
+    got = {r["id"]: r["x"] and [tuple(y) for y in r["x"]] for r in df.select("id", array_bins(F.col("w"), 2).alias("x")).collect()}
+    none = (0, None, None, None)
+    assert got == {1: [(2, 1, 2, 1.5), (2, 4, 5, 4.5)], 2: [none, (1, 7, 7, 7.0)], 3: [none, none], 4: None, 5: [none, none]}
+    with pytest.raises(ValueError):
+        array_bins(F.col("w"), 0)
 
 
 def test_tiers(spark):

@@ -40,3 +40,22 @@ def to_number(value: Column, kind: T.DataType) -> Column:
 def array_pick(value: Column, i: int) -> Column:
     """Extension: element ``i`` of a wave, from 0; null beyond its end."""
     return F.get(value, F.lit(i))
+
+
+def array_bins(value: Column, n: int) -> Column:
+    """A wave in n slices of its index, as equal as can be: an array of (count, min, max, avg).
+
+    Null elements are left out; a slice without any has count 0 and nulls; a null
+    wave is null.
+    """
+    if n < 1:
+        raise ValueError("a wave has one slice at least")
+    edge = lambda k: F.floor(k * F.size(value) / n).cast("int")
+
+    def of(k: Column) -> Column:
+        part = F.filter(F.slice(value, edge(k) + 1, edge(k + 1) - edge(k)), lambda x: x.isNotNull())
+        total = F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+        avg = F.when(F.size(part) > 0, total / F.size(part))
+        return F.struct(F.size(part).alias("count"), F.array_min(part).alias("min"), F.array_max(part).alias("max"), avg.alias("avg"))
+
+    return F.when(value.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of))

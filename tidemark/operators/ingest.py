@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grid import DAY, HOUR, LAYERS, MS, SEC
@@ -37,12 +37,14 @@ def quiet_times(policy: Mapping[str, int | str | None]) -> dict[str, int]:
     return {tier: 0 if how == "monitor" else int(how) * SEC for tier, how in policy.items() if how is not None}
 
 
-def thin(events: DataFrame, quiet: int, polled: bool = False) -> DataFrame:
+def thin(events: DataFrame, quiet: int, polled: bool = False, forced: Column | None = None) -> DataFrame:
     """Events that a rate limit lets through, in order of time within each series.
 
     Acceptance depends on what was accepted before, so each series is walked in
     order, by sorted partitions that stream through in batches: no series is held
     in memory.  A null value or repeated time is treated as any other event.
+    Events for which ``forced`` is true are let through in any case, and the rate
+    counts from them on.
     """
 
     gap = max(quiet - (POLL_SLACK if polled else 0), LEAST_STEP)
@@ -52,6 +54,7 @@ def thin(events: DataFrame, quiet: int, polled: bool = False) -> DataFrame:
         for batch in batches:
             ts = batch["ts_ns"].to_numpy()
             names = batch["series"].to_numpy()
+            must = np.flatnonzero(batch["_tm_forced"].to_numpy())
             cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(ts)]
             keep = []
             for a, b in zip(cuts, cuts[1:]):
@@ -60,14 +63,19 @@ def thin(events: DataFrame, quiet: int, polled: bool = False) -> DataFrame:
                 if names[a] != series:
                     series, last = names[a], None
                 # From one accepted event straight to the next: times are sorted.
-                at = a if last is None else a + int(np.searchsorted(ts[a:b], last + gap))
-                while at < b:
+                at = a
+                while True:
+                    free = at if last is None else at + int(np.searchsorted(ts[at:b], last + gap))
+                    at = min([free, *must[np.searchsorted(must, at) :][:1]])
+                    if at >= b:
+                        break
                     keep.append(at)
                     last = int(ts[at])
-                    at = at + 1 + int(np.searchsorted(ts[at + 1 : b], last + gap))
-            yield batch.iloc[keep]
+                    at += 1
+            yield batch.drop(columns="_tm_forced").iloc[keep]
 
-    ordered = events.repartition("series").sortWithinPartitions("series", "ts_ns", "event_id")
+    marked = events.withColumn("_tm_forced", F.lit(False) if forced is None else F.coalesce(forced, F.lit(False)))
+    ordered = marked.repartition("series").sortWithinPartitions("series", "ts_ns", "event_id")
     return ordered.mapInPandas(walk, events.schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.projection import array_pick, to_number
+from .functions.projection import array_bins, array_pick, to_number
 from .operators import binning, catalog, ingest, limits, series, usage
 from .plans.grid import DAY, HOUR, LAYERS, MIN, SEC, Grid, by_count, by_width
 from .plans.layers import CacheUsage, day_sources
@@ -133,6 +133,13 @@ def waveform_sum(spark, d):
     return df.select("vec_id", F.round(to_number(F.col("embedding"), df.schema["embedding"].dataType), 6).alias("total"), array_pick(F.col("embedding"), 3).alias("picked"))
 
 
+@query("""SELECT vec_id, k AS bin, CAST(len(part) AS BIGINT) AS n, CAST(list_min(part) AS DOUBLE) AS low, CAST(list_max(part) AS DOUBLE) AS high, round(list_avg(part), 6) AS mean
+    FROM (SELECT vec_id, k, list_slice(CAST(embedding AS DOUBLE[]), k * len(embedding) // 5 + 1, (k + 1) * len(embedding) // 5) AS part FROM embeddings, range(5) r(k) WHERE embedding IS NOT NULL)""")
+def waveform_bins(spark, d):
+    bins = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode(array_bins(F.col("embedding"), 5)).alias("bin", "x"))
+    return bins.select("vec_id", F.col("bin").cast("long").alias("bin"), F.col("x.count").cast("long").alias("n"), F.col("x.min").cast("double").alias("low"), F.col("x.max").cast("double").alias("high"), F.round("x.avg", 6).alias("mean"))
+
+
 @query("SELECT 'i32-v00' AS series, i * 1000000000 AS ts_ns, CAST((i * 10) % 1000 AS INTEGER) AS value FROM range(100, 160) t(i)")
 def generated_series(spark, d):
     return test_series(spark, "i32-v00", 100 * SEC, 160 * SEC)
@@ -360,6 +367,17 @@ def rate_limit_thinning(spark, d):
     return ingest.thin(events(spark, d), HOUR).select("series", "event_id", "ts_ns")
 
 
+_LET = f"(t.ts_ns IS NULL OR e.ts_ns >= t.ts_ns + {HOUR} OR e.event_id % 97 = 0)"
+
+
+@query(f"""WITH RECURSIVE ev AS (SELECT event_type AS series, epoch_us(ts) * 1000 AS ts_ns, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+    t AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS ts_ns, false AS took FROM ev
+      UNION ALL SELECT e.series, e.n, e.event_id, CASE WHEN {_LET} THEN e.ts_ns ELSE t.ts_ns END, {_LET} FROM t JOIN ev e ON e.series = t.series AND e.n = t.n + 1)
+    SELECT series, event_id, ts_ns FROM t WHERE took""")
+def forced_writes(spark, d):
+    return ingest.thin(events(spark, d), HOUR, forced=F.col("event_id") % 97 == 0).select("series", "event_id", "ts_ns")
+
+
 def _tier(column: str, quiet: int) -> str:
     return f"(t.{column} IS NULL OR e.ts_ns >= t.{column} + {max(quiet, 1_000_000)})"
 
