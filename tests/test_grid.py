@@ -11,6 +11,12 @@ def test_by_count():
     assert (b.count, b.beg, b.end) == (11, 0, 11 * g.HOUR)
 
 
+def test_pulses():
+    assert (len(g.PULSE_WIDTHS), g.PULSE_WIDTHS[:5], g.PULSE_WIDTHS[-2:]) == (25, [10, 20, 40, 80, 100], [8_000_000, 10_000_000])
+    a = g.by_count(1_234_567, 1_334_567, 20, g.PULSE_WIDTHS)
+    assert (a.width, a.beg, a.end) == (4000, 1_232_000, 1_336_000)
+
+
 @pytest.mark.parametrize("wanted,width", [(12 * g.SEC, 20 * g.SEC), (25 * g.SEC, 20 * g.SEC), (g.MS, 20 * g.MS), (100 * g.DAY, 64 * g.DAY)])
 def test_nearest_width(wanted, width):
     assert g.nearest_width(wanted) == width

@@ -17,6 +17,9 @@ WIDTHS: list[int] = [
     1 * DAY, 2 * DAY, 4 * DAY, 8 * DAY, 16 * DAY, 32 * DAY, 64 * DAY,
 ]
 
+# The ladder of widths for pulses, 10 to 10 million.
+PULSE_WIDTHS: list[int] = [m * 10**k for k in range(1, 7) for m in (1, 2, 4, 8)] + [10**7]
+
 # Pre-binned layers, width and bins in a partition.
 LAYERS: dict[str, tuple[int, int]] = {
     "Sec1": (SEC, 1200),
@@ -32,7 +35,7 @@ DEFAULT_COUNT = 20
 
 @dataclass(frozen=True)
 class Grid:
-    """Bins ``[first, last)`` of ``width`` ns, counted from the epoch."""
+    """Bins ``[first, last)`` of ``width`` ns, counted from the epoch, or of ``width`` pulses, counted from 0."""
 
     width: int
     first: int
@@ -61,14 +64,14 @@ def covering(beg: int, end: int, width: int) -> Grid:
     return Grid(width, beg // width, -(-end // width))
 
 
-def by_count(beg: int, end: int, count: int = DEFAULT_COUNT) -> Grid:
-    """At least about ``count`` bins: the largest ladder width that gives them."""
+def by_count(beg: int, end: int, count: int = DEFAULT_COUNT, widths: list[int] = WIDTHS) -> Grid:
+    """At least about ``count`` bins: the largest ladder width that gives them; ``PULSE_WIDTHS`` for ranges of pulses."""
     if not 1 <= count <= 2**31 - 1:
         raise ValueError(f"bin count out of range: {count}")
     most = (end - beg) // count
     if most < 1:
         raise ValueError("the range is shorter than its bins")
-    return covering(beg, end, max((w for w in WIDTHS if w <= most), default=most))
+    return covering(beg, end, max((w for w in widths if w <= most), default=most))
 
 
 def nearest_width(wanted: int) -> int:
